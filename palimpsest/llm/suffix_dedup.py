@@ -22,16 +22,16 @@ windows are then anchored by their own hash, which spreads them and still brings
 from __future__ import annotations
 
 import hashlib
-import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .arrays import pack as _pack
+from .arrays import unpack as _unpack
 from .blocks import blocks, unpack
 from .grouping import partitions, sorted_groups
 from .scratch import Phases
@@ -41,35 +41,6 @@ _LAST = np.iinfo(np.int64).max
 _TAG = 6
 
 
-def _pack(**arrays) -> bytes:
-    """Arrays as one compressed value; integers by byte planes, which suits small deltas."""
-    sink = io.BytesIO()
-    for name, x in arrays.items():
-        if isinstance(x, bytes):
-            kind, body = "b", x
-        else:
-            x = np.ascontiguousarray(x)
-            kind, body = x.dtype.str, x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() if len(x) else b""
-        head = f"{name},{kind},{len(body)}".encode()
-        sink.write(bytes([len(head)]) + head + body)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
-
-
-def _unpack(data: bytes) -> dict:
-    raw, out, at = zstandard.ZstdDecompressor().decompress(data), {}, 0
-    while at < len(raw):
-        name, kind, n = raw[at + 1 : at + 1 + raw[at]].decode().split(",")
-        at += 1 + raw[at]
-        body = raw[at : at + int(n)]
-        at += int(n)
-        if kind == "b":
-            out[name] = body
-        else:
-            size = np.dtype(kind).itemsize
-            out[name] = np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(size, -1).T).view(kind).ravel()
-    return out
-
-
 def _least(g: np.ndarray, width: int) -> np.ndarray:
     """Least of every ``width`` neighbours."""
     size = 1
