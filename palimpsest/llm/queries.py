@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprint import fingerprints
 from .language_model import score_documents
 from .near_dedup import near_duplicates
 from .suffix_dedup import remove_repeats
+from .toxicity import toxicity
 
 ORACLE: dict[str, str] = {}
 
@@ -21,6 +23,14 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +41,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_fingerprints": op3_fingerprints,
+    "op6_toxicity": op6_toxicity,
     "op7_language_model": op7_language_model,
     "op10_near_dedup": op10_near_dedup,
 }
