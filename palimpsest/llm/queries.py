@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import find_leaks
 from .fingerprint import fingerprints
 from .language_model import score_documents
 from .near_dedup import near_duplicates
@@ -35,6 +36,11 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.selectExpr("doc_id", "size(leaked_items) > 0 as contaminated", "leaked_items", "leak_share")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -44,5 +50,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op7_language_model": op7_language_model,
+    "op8_decontaminate": op8_decontaminate,
     "op10_near_dedup": op10_near_dedup,
 }
