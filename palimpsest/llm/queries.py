@@ -12,6 +12,7 @@ from .language_model import score_documents
 from .near_dedup import near_duplicates
 from .suffix_dedup import remove_repeats
 from .toxicity import toxicity
+from .warc import round_trip
 
 ORACLE: dict[str, str] = {}
 
@@ -41,6 +42,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "size(leaked_items) > 0 as contaminated", "leaked_items", "leak_share")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -51,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_language_model": op7_language_model,
     "op8_decontaminate": op8_decontaminate,
+    "op9_warc": op9_warc,
     "op10_near_dedup": op10_near_dedup,
 }
