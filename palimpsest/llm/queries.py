@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import license_scan, mixing
 from .decontaminate import find_leaks
 from .fingerprint import fingerprints
 from .language_model import score_documents
 from .near_dedup import near_duplicates
 from .suffix_dedup import remove_repeats
+from .token_counts import section_tokens
 from .toxicity import toxicity
 from .warc import round_trip
 
 ORACLE: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle(),
     "op4_mixing": mixing.ORACLE,
 }
 
@@ -24,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
 
@@ -36,6 +42,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -58,9 +68,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_mixing": op4_mixing,
+    "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
     "op7_language_model": op7_language_model,
     "op8_decontaminate": op8_decontaminate,
