@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from . import textvec
 from .scratch import Phases
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def pack(batch: pa.RecordBatch) -> bytes:

@@ -90,6 +90,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-4.0", ("CCBY4",)),
     ("CC0-1.0", ("CC0",)),
     ("Proprietary", ("Copyright", "AllRights")),
+    ("Proprietary", ("AllRights",)),
 )
 #: Every known sentence has one of these; others aren't normalised.
 MARKS = ("licen", "copyright", "permission", "warrant", "redistribut", "rights reserved", "distributed", "compliance", "gpl", "provided as is", 'provided "as is')

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,3 +50,8 @@ class Phases:
                 jvm = self.spark._jvm
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def settle(self) -> None:
+        """Has Spark drop the exchanges of finished phases, which it else does when the driver next runs low."""
+        gc.collect()
+        self.spark._jvm.System.gc()

@@ -61,10 +61,7 @@ class _Windows:
         self.key = np.zeros(0, np.uint64)
         if n < WINDOW:
             return
-        self.prefix = textvec.prefix_hash(self.buf)
-        at = np.arange(n - GRAM + 1)
-        least = _least(textvec.span_hash(self.prefix, at, at + GRAM), WINDOW - GRAM + 1)
-        del at
+        least = _least(textvec.rolling_hash(self.buf, GRAM), WINDOW - GRAM + 1)
         lengths = np.diff(self.offsets)
         long_ = np.flatnonzero(lengths >= WINDOW)
         inside = np.zeros(n + 1, dtype=np.int8)
@@ -249,7 +246,7 @@ def _suffixes(id_col: str, text_col: str, n: int):
                 counts = w.hi[hot] - w.lo[hot]
                 each = np.repeat(w.lo[hot] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
                 lo, hi = np.concatenate([lo, each]), np.concatenate([hi, each + 1])
-                key = np.concatenate([key, textvec.mix(textvec.span_hash(w.prefix, each, each + WINDOW)) >> np.uint64(64 - 8 * _TAG)])
+                key = np.concatenate([key, textvec.mix(textvec.rolling_hash(w.buf, WINDOW)[each]) >> np.uint64(64 - 8 * _TAG)])
             raw = w.buf.tobytes()
             tags = key.astype(">u8").tobytes()
             records = [tags[8 * i + 2 : 8 * i + 8] + raw[a:b] for i, (a, b) in enumerate(zip(lo.tolist(), (hi + WINDOW - 1).tolist(), strict=True))]
@@ -418,16 +415,21 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     phases = Phases(spark, "suffix")
     stored = blocks(docs.select(*dict.fromkeys([*columns, id_col, text_col])), text_col, phases)
     n = max(partitions(spark), stored.count() // 4)
-    by_bucket = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket", "block")
-    anchors = by_bucket(stored.mapInArrow(_anchors(id_col, text_col, n), "bucket int, block long, data binary"))
-    shared = anchors.mapInArrow(_shared, "block long, data binary")
+    answers = _answers(stored, n, id_col, text_col, phases)
+    phases.settle()  # else the exchanges of all phases lie on disk together
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return _with_bodies(stored, answers, n).mapInArrow(_apply(columns, text_col, replace), f"{fields}, {_ADDED}")
+
 
-    def with_bodies(answers: DataFrame) -> DataFrame:
-        both = stored.selectExpr("block", "body", "cast(null as binary) data").union(answers.selectExpr("block", "cast(null as binary) body", "data"))
-        return both.repartition(n, "block").sortWithinPartitions("block")
+def _with_bodies(stored: DataFrame, answers: DataFrame, n: int) -> DataFrame:
+    both = stored.selectExpr("block", "body", "cast(null as binary) data").union(answers.selectExpr("block", "cast(null as binary) body", "data"))
+    return both.repartition(n, "block").sortWithinPartitions("block")
 
-    runs = with_bodies(shared).mapInArrow(_suffixes(id_col, text_col, n), "bucket int, block long, data binary")
+
+def _answers(stored: DataFrame, n: int, id_col: str, text_col: str, phases: Phases) -> DataFrame:
+    anchors = stored.mapInArrow(_anchors(id_col, text_col, n), "bucket int, block long, data binary")
+    shared = anchors.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_shared, "block long, data binary")
+    runs = _with_bodies(stored, shared, n).mapInArrow(_suffixes(id_col, text_col, n), "bucket int, block long, data binary")
     spread = runs.withColumn("part", F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket").cast("long")))
-    answers = phases.write(spread.repartition(n, "part").sortWithinPartitions("bucket", "block").select("bucket", "block", "data").mapInArrow(_merge, "block long, data binary"), opaque=True)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return with_bodies(answers).mapInArrow(_apply(columns, text_col, replace), f"{fields}, {_ADDED}")
+    spread = spread.repartition(n, "part").sortWithinPartitions("bucket", "block").select("bucket", "block", "data")
+    return phases.write(spread.mapInArrow(_merge, "block long, data binary"), opaque=True)

@@ -95,6 +95,14 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M2)
 
 
+def rolling_hash(buf: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of the ``n`` bytes from each position on."""
+    prefix = prefix_hash(buf)
+    out = prefix[n:] - prefix[:-n]
+    out *= _power(_INV, "down", len(prefix))[: len(out)]
+    return mix(out)
+
+
 def shingles(word_hash: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every document's k-word shingles (all words as one where there are fewer) and their offsets.
 
