@@ -7,11 +7,12 @@ check on each candidate's surroundings.
 The benchmark is taken in blocks of at most ``BLOCK_ITEMS`` items, whatever its size; a block's terms, weights and
 latent basis are what is broadcast. Document frequencies, the decomposition and the search cover all documents.
 
-1. Document frequencies of a block's terms, over all documents.
+1. All texts are cut into words once and stored as the numbers of the block's words (-1: any other word), which is
+   all that later steps need; document frequencies of the block's terms come from there.
 2. Passages with at least ``LEAST_TERMS`` informative terms (rare ones, or among an item's rarest) as sparse rows.
 3. Basis of rank ``RANK`` by power iterations ``Z = orth(A'A Z)`` with the rows spread out; partial products are
    summed in a tree.
-4. All texts again: latent cosine of every such passage with every item; from ``LEAST_COSINE`` on, the longest
+4. All stored texts: latent cosine of every such passage with every item; from ``LEAST_COSINE`` on, the longest
    common subsequence of the item and the words around the passage decides: ``SURE`` of the item's words, or
    ``LIKELY`` of them together with the answer (the item's last sentence) word for word.
 """
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -60,7 +60,7 @@ def items_of(rows: list[tuple[int, str | None]]) -> list[Item]:
     return out
 
 
-def common_subsequence(item: dict[str, int], n: int, words: list[str]) -> int:
+def common_subsequence(item: dict[int, int], n: int, words: list[int]) -> int:
     """Length of the longest common subsequence; ``item``: the positions of each word as bits."""
     full = (1 << n) - 1
     row = full
@@ -72,45 +72,54 @@ def common_subsequence(item: dict[str, int], n: int, words: list[str]) -> int:
     return n - row.bit_count()
 
 
+def holds(words: np.ndarray, part: np.ndarray) -> bool:
+    """Whether ``part`` stands in ``words`` in one piece; both int32."""
+    whole, raw = words.tobytes(), part.tobytes()
+    at = whole.find(raw)
+    while at >= 0 and at % 4:
+        at = whole.find(raw, at + 1)
+    return at >= 0
+
+
 @dataclass
 class Query:
-    """A block of items: term numbers and weights, the latent basis and the items in it."""
+    """A block of items: word numbers, the informative terms among them with weights, and the latent basis."""
 
     items: list[Item]
-    number: dict[str, int]
+    vocabulary: dict[str, int]
+    term: np.ndarray
     idf: np.ndarray
     basis: np.ndarray | None = None
     latent: np.ndarray | None = None
 
     def __post_init__(self) -> None:
+        self.words = [number_words(item.words, self.vocabulary) for item in self.items]
+        self.answers = [number_words(item.answer, self.vocabulary) for item in self.items]
         self.bits = []
-        for item in self.items:
-            at: dict[str, int] = {}
-            for i, w in enumerate(item.words):
+        for words in self.words:
+            at: dict[int, int] = {}
+            for i, w in enumerate(words.tolist()):
                 at[w] = at.get(w, 0) | 1 << i
             self.bits.append(at)
 
-    def rows(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def rows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, first word, offsets, terms, weights) of the passages with enough informative terms."""
-        docs, passages, terms = [], [], []
-        for d, words in enumerate(texts):
-            t = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
-            at = np.flatnonzero(t >= 0)
-            if len(at) < LEAST_TERMS:
-                continue
-            p = at // STRIDE
-            both = np.concatenate([p, p[p > 0] - 1])
-            docs.append(np.full(len(both), d))
-            passages.append(both)
-            terms.append(np.concatenate([t[at], t[at[p > 0]]]))
         none = np.zeros(0, np.int64)
-        if not docs:
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        # a last entry of -1: the term of words outside the block's
+        term = np.append(self.term, -1)[np.concatenate(texts)] if texts else none
+        at = np.flatnonzero(term >= 0)
+        if not len(at):
             return none, none, np.zeros(1, np.int64), none, np.zeros(0)
-        doc, passage, term = (np.concatenate(x).astype(np.int64) for x in (docs, passages, terms))
+        doc = np.searchsorted(ends, at, side="right")
+        p = (at - np.concatenate([[0], ends])[doc]) // STRIDE
+        term = term[at].astype(np.int64)
+        again = p > 0
+        doc, passage, term = np.concatenate([doc, doc[again]]), np.concatenate([p, p[again] - 1]), np.concatenate([term, term[again]])
         row = doc * (int(passage.max()) + 1) + passage
         cell, tf = np.unique(row * len(self.idf) + term, return_counts=True)
         row, term = np.divmod(cell, len(self.idf))
-        rows, first, size = np.unique(row, return_index=True, return_counts=True)
+        rows, size = np.unique(row, return_counts=True)
         enough = size >= LEAST_TERMS
         keep = np.repeat(enough, size)
         offsets = np.concatenate([[0], np.cumsum(size[enough])])
@@ -120,6 +129,15 @@ class Query:
         return text, start * STRIDE, offsets, term[keep], weight / np.repeat(norm, np.diff(offsets))
 
 
+def number_words(words: list[str], vocabulary: dict[str, int]) -> np.ndarray:
+    return np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int32, len(words))
+
+
+def numbered(cell) -> np.ndarray:
+    """The stored word numbers of a text."""
+    return np.frombuffer(cell.as_buffer(), np.int32)
+
+
 def _project(offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
     if len(offsets) < 2:
         return np.zeros((0, basis.shape[1]))
@@ -133,17 +151,30 @@ def _steps(offsets: np.ndarray, rows: int = 8192) -> Iterator[tuple[int, int, in
         yield i, j, int(offsets[i]), int(offsets[j])
 
 
-def _frequencies(number: dict[str, int]):
+def _number(vocabulary, text_at: int, kept: list[int], names: list[str]):
+    """The kept columns and the text's word numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[int] = Counter()
+        own = vocabulary.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [number_words(words_of(t.as_py()), own).tobytes() for t in part.column(text_at)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(texts, pa.binary())], names=names)
+
+    return run
+
+
+def _frequencies(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(size, np.int64)
         n = 0
-        keys = number.keys()
         for batch in batches:
             for text in batch.column(0):
-                count.update(number[w] for w in keys & set(words_of(text.as_py())))
-                n += 1
-        count[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int32()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
+                count[np.unique(np.append(numbered(text), -1))[1:]] += 1
+            n += batch.num_rows
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int32()), pa.array([n, *count[some].tolist()], pa.int64())], names=["term", "n"])
 
     return run
 
@@ -152,7 +183,7 @@ def _sparse(query):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                _, _, offsets, terms, weights = query.value.rows([words_of(t.as_py()) for t in batch.column(0).slice(at, 500)])
+                _, _, offsets, terms, weights = query.value.rows([numbered(t) for t in batch.column(0).slice(at, 500)])
                 if len(offsets) > 1:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in ([offsets.astype(np.int32).tobytes()], [terms.astype(np.int32).tobytes()], [weights.astype(np.float32).tobytes()])], names=["offsets", "terms", "weights"])
 
@@ -205,7 +236,7 @@ def decompose(sparse: DataFrame, query: Query) -> np.ndarray:
     spark = sparse.sparkSession
     m = len(query.idf)
     rank = min(RANK + 16, m)
-    own = query.rows([i.words[j : j + PASSAGE] for i in query.items for j in range(0, max(1, len(i.words) - STRIDE), STRIDE)])
+    own = query.rows([w[j : j + PASSAGE] for w in query.words for j in range(0, max(1, len(w) - STRIDE), STRIDE)])
     z = np.linalg.qr(np.random.default_rng(8).standard_normal((m, rank)))[0]
     n = max(sparse.rdd.getNumPartitions(), 1)
     n_rows = sparse.agg(F.coalesce(F.sum(F.length("offsets") / 4 - 1), F.lit(0.0)).alias("n")).first()["n"]
@@ -228,7 +259,7 @@ def decompose(sparse: DataFrame, query: Query) -> np.ndarray:
     return (z @ vectors[:, best]).astype(np.float32)
 
 
-def matches(query: Query, texts: list[list[str]]) -> list[dict[int, float]]:
+def matches(query: Query, texts: list[np.ndarray]) -> list[dict[int, float]]:
     """For each text, the items found in it with the share of their words."""
     found: list[dict[int, float]] = [{} for _ in texts]
     doc, start, offsets, terms, weights = query.rows(texts)
@@ -243,50 +274,52 @@ def matches(query: Query, texts: list[list[str]]) -> list[dict[int, float]]:
             s = int(start[i + p])
             around = texts[d][max(0, s - n) : s + PASSAGE + n]
             if n < SHORT:
-                share = float(f" {' '.join(item.words)} " in f" {' '.join(around)} ")
+                share = float(holds(around, query.words[q]))
             else:
-                share = common_subsequence(query.bits[q], n, around) / n
-                if share < SURE and not (share >= LIKELY and item.answer and f" {' '.join(item.answer)} " in f" {' '.join(around)} "):
+                share = common_subsequence(query.bits[q], n, around[around >= 0].tolist()) / n
+                if share < SURE and not (share >= LIKELY and item.answer and holds(around, query.answers[q])):
                     share = 0.0
             if share > found[d].get(item.item_id, 0.0):
                 found[d][item.item_id] = share
     return found
 
 
-def _search(query, text_at: int, names: list[str]):
+def _search(query, words_at: int, names: list[str]):
+    """All columns but the word numbers, the last, with what a block's items add."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = matches(query.value, [words_of(t.as_py()) for t in part.column(text_at)])
+                found = matches(query.value, [numbered(t) for t in part.column(words_at)])
                 lists = pa.array([sorted(f) for f in found], pa.list_(pa.int64()))
                 shares = pa.array([max(f.values(), default=0.0) for f in found], pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, shares], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:words_at], lists, shares], names=names)
 
     return run
 
 
-def prepare(docs: DataFrame, items: list[Item], phases: Phases, *, text_col: str = "text") -> Query:
-    """Weights and latent basis of a block of items over all ``docs``."""
-    spark = docs.sparkSession
-    vocabulary = {w: i for i, w in enumerate(sorted({w for item in items for w in item.words}))}
-    texts = docs.select(text_col)
-    seen = texts.mapInArrow(_frequencies(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+def prepare(stored: DataFrame, items: list[Item], vocabulary: dict[str, int], phases: Phases) -> Query:
+    """Weights and latent basis of a block of items over all ``stored`` texts."""
+    spark = stored.sparkSession
+    texts = stored.select(_WORDS)
+    seen = texts.mapInArrow(_frequencies(len(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = {r["term"]: r["n"] for r in seen}
     n_docs = df.pop(-1, 0)
     informative = {w for w, i in vocabulary.items() if df.get(i, 0) <= RARE * n_docs}
     for item in items:
         informative.update(sorted(set(item.words), key=lambda w: (df.get(vocabulary[w], 0), w))[:RAREST])
-    number = {w: i for i, w in enumerate(sorted(informative))}
+    term = np.full(len(vocabulary), -1, np.int32)
+    term[[vocabulary[w] for w in sorted(informative)]] = np.arange(len(informative))
     idf = np.array([math.log((n_docs + 1) / (df.get(vocabulary[w], 0) + 1)) + 1e-3 for w in sorted(informative)])
-    query = Query(items, number, idf)
+    query = Query(items, vocabulary, term, idf)
     sparse = phases.write(texts.mapInArrow(_sparse(spark.sparkContext.broadcast(query)), "offsets binary, terms binary, weights binary"), opaque=True)
     basis = decompose(sparse, query)
     phases.drop(sparse)
     latent = np.zeros((len(items), basis.shape[1]), np.float32)
-    for q, item in enumerate(items):
-        count = Counter(number[w] for w in item.words if w in number)
-        for t, tf in count.items():
+    for q, words in enumerate(query.words):
+        terms = term[words]
+        for t, tf in zip(*np.unique(terms[terms >= 0], return_counts=True), strict=True):
             latent[q] += (1 + math.log(tf)) * idf[t] * basis[t]
         norm = np.linalg.norm(latent[q])
         latent[q] /= norm if norm else 1
@@ -294,13 +327,18 @@ def prepare(docs: DataFrame, items: list[Item], phases: Phases, *, text_col: str
     return query
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with leaked_items (sorted item ids found in the text) and leak_share (of the item's words, at most 1).
+_WORDS = "words_"
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all by default) with leaked_items (sorted item ids found in the text) and leak_share (of
+    the item's words, at most 1).
 
     Null or empty texts and items match nothing; repeated rows and items are judged alike; an empty benchmark finds
-    nothing and an empty table stays empty. Other columns are kept; leaked_items and leak_share must be free.
+    nothing and an empty table stays empty. leaked_items, leak_share and words_ must be free.
     """
-    for c in ("leaked_items", "leak_share"):
+    columns = list(columns or docs.columns)
+    for c in ("leaked_items", "leak_share", _WORDS):
         if c in docs.columns:
             raise ValueError(f"column {c} is taken")
     spark = docs.sparkSession
@@ -308,13 +346,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     wanted = benchmark.select(benchmark[item_id].cast("long").alias("item_id"), benchmark[item_text].alias("text"))
     n_blocks = -(-wanted.count() // BLOCK_ITEMS)
     out = docs.withColumn("leaked_items", F.expr("cast(array() as array<bigint>)")).withColumn("leak_share", F.lit(0.0))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    every = [*dict.fromkeys([*columns, text_col])]
+    answer = "leaked_items array<bigint>, leak_share double"
     for b in range(n_blocks):
-        # blocks of about BLOCK_ITEMS / 2 items; a fuller one is cut again below
+        # blocks of about BLOCK_ITEMS items; a fuller one is cut again below
         rows = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).orderBy("item_id").collect() if n_blocks > 1 else wanted.orderBy("item_id").collect()
-        every = items_of([(r["item_id"], r["text"]) for r in rows])
-        for at in range(0, len(every), BLOCK_ITEMS):
-            query = prepare(docs, every[at : at + BLOCK_ITEMS], phases, text_col=text_col)
-            found = out.mapInArrow(_search(spark.sparkContext.broadcast(query), out.columns.index(text_col), [*out.columns, "more_items", "more_share"]), f"{fields}, leaked_items array<bigint>, leak_share double, more_items array<bigint>, more_share double")
-            out = found.select(*docs.columns, F.array_sort(F.array_union("leaked_items", "more_items")).alias("leaked_items"), F.greatest("leak_share", "more_share").alias("leak_share"))
-    return out
+        items = items_of([(r["item_id"], r["text"]) for r in rows])
+        for at in range(0, len(items), BLOCK_ITEMS):
+            some = items[at : at + BLOCK_ITEMS]
+            last = b == n_blocks - 1 and at + BLOCK_ITEMS >= len(items)
+            kept = columns if last else every
+            fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", {answer}"
+            vocabulary = {w: i for i, w in enumerate(sorted({w for item in some for w in item.words}))}
+            source = out.select(*every, "leaked_items", "leak_share")
+            at_ = [source.columns.index(c) for c in (*kept, "leaked_items", "leak_share")]
+            names = [*kept, "leaked_items", "leak_share"]
+            number = _number(spark.sparkContext.broadcast(vocabulary), source.columns.index(text_col), at_, [*names, _WORDS])
+            stored = phases.write(source.mapInArrow(number, f"{fields}, {_WORDS} binary"))
+            query = spark.sparkContext.broadcast(prepare(stored, some, vocabulary, phases))
+            found = stored.mapInArrow(_search(query, len(names), [*names, "more_items", "more_share"]), f"{fields}, more_items array<bigint>, more_share double")
+            out = found.select(*kept, F.array_sort(F.array_union("leaked_items", "more_items")).alias("leaked_items"), F.greatest("leak_share", "more_share").alias("leak_share"))
+    return out.select(*columns, "leaked_items", "leak_share")
