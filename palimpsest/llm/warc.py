@@ -32,8 +32,6 @@ MAGIC = 0x184D2A5D
 #: Raw bytes of records to an archive, of samples to a dictionary, of the dictionary, and zstd's level.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICT_BYTES, LEVEL = 24 << 20, 2 << 20, 64 << 10, 6
 DATE = "2000-01-01T00:00:00Z"
-#: Copies of one payload spread over so many tasks when they look up their first record.
-SALT = 32
 
 
 def digest(payload: bytes) -> str:
@@ -144,20 +142,17 @@ def _write(folder: str):
     return run
 
 
-def plan_records(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
-    """page_id, url, html (bytes), refers_to, refers_url and is_revisit of each row."""
+def plan_records(pages: DataFrame, groups_path: str, *, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
+    """page_id, url, html (bytes), refers_to, refers_url and is_revisit of each row.
+
+    Payloads that occur again are written to ``groups_path``, a row each, and joined from there: the pages move once at
+    most, and as both sides are plain exchanges, Spark splits the partition of a payload with many copies."""
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), F.coalesce(F.encode(pages[html_col], "UTF-8"), F.lit(b"")).alias("html"))
     rows = rows.withColumn("sum", F.unhex(F.sha1("html")))
-    groups = rows.filter(F.length("html") >= least_bytes).groupBy("sum").agg(F.min("page_id").alias("least"), F.count("*").alias("n"), F.min_by(F.struct("url"), "page_id").alias("u"))
-    groups = groups.filter("n > 1 and least is not null").select("sum", F.col("least").alias("refers_to"), F.col("u.url").alias("refers_url"), "n")
-    salts = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > 1000, SALT - 1).otherwise(0)))
-    groups = groups.withColumn("salt", salts).withColumn("spread", F.col("n") > 1000)
-    # a payload with many copies is looked up in SALT places; others in one
-    hot = groups.filter("spread").select("sum", "salt", F.col("refers_to").alias("r1"), F.col("refers_url").alias("u1"))
-    cold = groups.filter("not spread").select("sum", F.col("refers_to").alias("r2"), F.col("refers_url").alias("u2"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
-    found = rows.join(hot, ["sum", "salt"], "left").join(cold, ["sum"], "left")
-    found = found.select("page_id", "url", "html", F.coalesce("r1", "r2").alias("refers_to"), F.when(F.col("r1").isNotNull(), F.col("u1")).otherwise(F.col("u2")).alias("refers_url"))
+    groups = rows.filter(F.length("html") >= least_bytes).groupBy("sum").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"), F.min_by(F.struct("url"), "page_id").alias("u"))
+    groups.filter("n > 1 and refers_to is not null").select("sum", "refers_to", F.col("u.url").alias("refers_url")).write.parquet(groups_path)
+    groups = pages.sparkSession.read.schema("sum binary, refers_to long, refers_url string").parquet(groups_path)
+    found = rows.join(groups, "sum", "left").drop("sum")
     found = found.withColumn("is_revisit", F.coalesce(F.length("html") >= least_bytes, F.lit(False)) & F.col("refers_to").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("refers_to"), F.lit(False)))
     return found.withColumn("refers_to", F.when(F.col("is_revisit"), F.col("refers_to"))).withColumn("refers_url", F.when(F.col("is_revisit"), F.col("refers_url")))
 
@@ -170,7 +165,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     (each of them, should rows repeat it) and others revisit it. A null html is an empty payload, a null url an empty
     one; a row without an id is never referred to. An empty table writes no archive. Other columns are not read.
     """
-    planned = plan_records(pages, id_col=id_col, url_col=url_col, html_col=html_col, least_bytes=least_bytes)
+    planned = plan_records(pages, f"{folder}/groups", id_col=id_col, url_col=url_col, html_col=html_col, least_bytes=least_bytes)
     planned.mapInArrow(_write(f"{folder}/archives"), _MANIFEST).write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
