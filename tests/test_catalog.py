@@ -53,3 +53,13 @@ def test_diversify_prefers_new_terms(spark):
     pool = spark.createDataFrame([("p", 1, 0, "red green"), ("p", 2, 1, "red green"), ("p", 3, 2, "blue")], "pack string, cell_id long, pos long, body_text string")
     got = [r["cell_id"] for r in sorted(diversify(pool, 40000, 2).collect(), key=lambda r: r["rank"])]
     assert got == [1, 3]
+
+
+def test_token_estimates_round_up_by_run(spark):
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions.text import estimate_tokens
+
+    cases = [("", 0), (" ", 1), ("abcd", 1), ("abcde", 2), ("ab cd", 2), ("été", 3), ("!!!!!", 2), ("a\n\nb", 3), (None, 0)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    assert [r["n"] for r in df.select("i", estimate_tokens(F.col("t")).alias("n")).orderBy("i").collect()] == [n for _, n in cases]
