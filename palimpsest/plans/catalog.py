@@ -271,9 +271,9 @@ def supersede_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.latest_by(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderpriority", "o_orderkey")
 
 
-@query("temporal_fact_chain", "WITH r AS (SELECT o_orderkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS last FROM orders) SELECT o_orderkey, o_orderkey = last AS latest, CASE WHEN o_orderkey <> last THEN last END AS superseded_by FROM r")
+@query("temporal_fact_chain", "WITH r AS (SELECT o_orderkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS last FROM orders) SELECT o_orderkey, o_orderkey = last AS latest, CASE WHEN o_orderkey <> last THEN last ELSE -1 END AS superseded_by FROM r")
 def temporal_fact_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.fact_chain(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], ["o_orderdate"], "o_orderkey").select("o_orderkey", "latest", "superseded_by")
+    return relational.fact_chain(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], ["o_orderdate"], "o_orderkey").select("o_orderkey", "latest", F.coalesce("superseded_by", F.lit(-1)).alias("superseded_by"))
 
 
 # joins
@@ -356,6 +356,42 @@ def verify_fact_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("status", F.when((F.col("supporting") > 0) & (F.col("contradicting") > 0), "mixed_evidence").when(F.col("supporting") > 0, "supported").otherwise("contradicted"))
 
 
+@query("rarest_terms_topk", f"""WITH {_READABLE}, t AS (SELECT * FROM (VALUES {", ".join(f"('{t}', {i})" for i, t in enumerate(TERMS))}) v(term, i)),
+d AS (SELECT term, i, (SELECT [{", ".join(f"df{i}" for i in range(len(TERMS)))}] FROM stats)[i + 1] AS df FROM t),
+k AS (SELECT i FROM d WHERE df > 0 ORDER BY df, length(term) DESC, term LIMIT 2),
+e AS (SELECT cell_id, len_, unnest([{", ".join(f"tf{i}" for i in range(len(TERMS)))}]) AS tf, unnest(range({len(TERMS)})) AS i FROM counted),
+x AS (SELECT cell_id, CAST(round(sum(greatest(0.0, ln((n + 1) / (df + 0.5))) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * (greatest(len_, 1) / avg_)))) * 1000000) AS BIGINT) AS lexical FROM e JOIN k USING (i) JOIN d USING (i), stats GROUP BY 1)
+SELECT cell_id, lexical FROM x ORDER BY lexical DESC, cell_id LIMIT 20""")
+def rarest_terms_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical(spark, sf_dir, rarest=2).select("cell_id", "lexical").orderBy(F.desc("lexical"), "cell_id").limit(20)
+
+
+@query("interval_stabbing", f"WITH {_CLAIMS} SELECT subject, count(*) AS n_valid, min(id) AS first_id FROM c WHERE valid_from <= DATE '1997-03-01' AND DATE '1997-03-01' <= valid_to GROUP BY 1")
+def interval_stabbing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims valid at a date, by subject; pushed down to the scan as a range of the start."""
+    day = F.lit("1997-03-01").cast("date")
+    valid = _claims(spark, sf_dir).filter((F.col("valid_from") <= day) & (day <= F.col("valid_to")))
+    return valid.groupBy("subject").agg(F.count("*").alias("n_valid"), F.min("id").alias("first_id"))
+
+
+@query("source_support", "WITH s AS (SELECT l_orderkey, l_suppkey, CAST(round(l_discount * 65535) AS BIGINT) AS trust, l_linenumber AS relation FROM lineitem), b AS (SELECT l_orderkey, max(trust) AS trust_q16, count(*) AS n_edges FROM s GROUP BY 1), r AS (SELECT s.l_orderkey, min(relation) AS relation FROM s JOIN b ON s.l_orderkey = b.l_orderkey AND s.trust = b.trust_q16 GROUP BY 1) SELECT o_orderkey, coalesce(trust_q16, 0) AS trust_q16, coalesce(relation, 0) AS relation, coalesce(n_edges, 0) AS n_edges FROM orders LEFT JOIN b ON o_orderkey = b.l_orderkey LEFT JOIN r ON o_orderkey = r.l_orderkey")
+def source_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a fact with its most trusted support edge (the smallest of equals); facts without one stay, with the relation 0."""
+    edges = table(spark, sf_dir, "lineitem").select("l_orderkey", F.round(F.col("l_discount") * 65535).cast("long").alias("trust"), F.col("l_linenumber").alias("relation"))
+    best = edges.groupBy("l_orderkey").agg(F.max("trust").alias("trust"), F.max(F.struct("trust", -F.col("relation"))).alias("b"), F.count("*").alias("n"))
+    facts = table(spark, sf_dir, "orders").select("o_orderkey").join(best, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return facts.select("o_orderkey", F.coalesce("trust", F.lit(0)).alias("trust_q16"), F.coalesce(-F.col("b.col2"), F.lit(0)).alias("relation"), F.coalesce("n", F.lit(0)).alias("n_edges"))
+
+
+@query("embedding_debt", "WITH j AS (SELECT doc_id, embedding, label FROM documents LEFT JOIN embeddings ON doc_id = vec_id), d AS (SELECT doc_id, CASE WHEN embedding IS NULL THEN 'missing_vector' WHEN len(embedding) <> 64 THEN 'dimension_mismatch' WHEN label < 2 THEN 'stale_model' END AS reason FROM j) SELECT reason, count(*) AS n, min(doc_id) AS first_id FROM d WHERE reason IS NOT NULL GROUP BY 1")
+def embedding_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the first reason to embed them again; labels below 2 stand for an older model."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dim"), "label")
+    both = table(spark, sf_dir, "documents").select("doc_id").join(vectors, F.col("doc_id") == F.col("vec_id"), "left")
+    reason = F.when(F.col("vec_id").isNull(), "missing_vector").when(F.col("dim") != 64, "dimension_mismatch").when(F.col("label") < 2, "stale_model")
+    return both.withColumn("reason", reason).filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
 # order-dependent selections over the best 64 rows; tests hold them against plain Python
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
