@@ -232,3 +232,55 @@ def test_pipeline_stages_keep_columns(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_language_model_keeps_every_state_that_passes(spark):
+    """Against brute force on a table with more states than one machine was given before."""
+    import math
+    from collections import Counter, defaultdict
+
+    path = "/root/testdata/sf0.1"
+    got = {r["doc_id"]: r for r in language_model.score_documents(spark.read.parquet(f"{path}/documents.parquet")).collect()}
+    texts = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), language_model.END] for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    trained = [ws for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    count = Counter(w for ws in trained for w in ws)
+    total, least = sum(count.values()), max(2, math.ceil(sum(count.values()) * language_model.SHARE))
+    own = {w for w, c in count.items() if c >= least} | {language_model.END}
+    one, two = (sum(c == k for c in count.values()) for k in (1, 2))
+    discount = one / (one + 2 * two)
+    root = {w: (count[w] - discount) / total for w in own}
+    root[None] = 1 - sum(root.values())
+    symbols = lambda ws: [language_model.END, *(w if w in own else None for w in ws)]
+    share = Counter(x for ws in trained for x in symbols(ws)[1:])
+    states: list[dict] = [{(): {x: c for x, c in share.items()}}]
+    for depth in (1, 2, 3):
+        seen: dict = defaultdict(Counter)
+        for ws in trained:
+            s = symbols(ws)
+            for j in range(depth, len(s)):
+                if tuple(s[j - depth + 1 : j]) in states[-1]:
+                    seen[tuple(s[j - depth : j])][s[j]] += 1
+        kept = {}
+        for context, following in seen.items():
+            above, n = states[-1][context[1:]], following.total()
+            of = sum(above.values()) if depth == 1 else states[-1].get((context[1:], "n")) or states[-1].setdefault((context[1:], "n"), sum(above.values()))
+            of = of if depth > 1 else total
+            if sum(c * math.log(c / n / (above[x] / of)) for x, c in following.items()) - len(following) / 2 * math.log(n) >= language_model.MIN_GAIN:
+                kept[context] = following
+        states.append(kept)
+    print("states by depth:", [len([k for k in s if not (k and k[-1] == "n")]) for s in states[1:]])
+    assert sum(map(len, states)) > 100_000
+    for i in sorted(texts)[::50]:
+        s, score = symbols(texts[i]), 0.0
+        for j in range(1, len(s)):
+            p = root[s[j]]
+            for depth in range(1, min(j, 3) + 1):
+                following = states[depth].get(tuple(s[j - depth : j]))
+                if following is None:
+                    break
+                p = (following[s[j]] + len(following) * p) / (following.total() + len(following))
+            if s[j] is None:
+                c = count[texts[i][j - 1]]
+                p *= (c - discount if c else discount * len(count)) / total / root[None]
+            score += math.log10(p)
+        assert math.isclose(got[i]["score"], score, rel_tol=1e-9), i
