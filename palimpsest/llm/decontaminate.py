@@ -4,15 +4,17 @@ Method: Halko, Martinsson and Tropp's randomised range finder on the TF-IDF matr
 every ``STRIDE``), then cosine search in the latent space, then a word-level longest common subsequence and an answer
 check on each candidate's surroundings.
 
-The benchmark is taken in blocks of at most ``BLOCK_ITEMS`` items, whatever its size; a block's terms, weights and
+The benchmark is taken in blocks of items with at most ``BLOCK_ITEMS`` passages (a longer item is a block of its own),
+whatever its size; a block's terms, weights and
 latent basis are what is broadcast. Document frequencies, the decomposition and the search cover all documents.
 
 1. All texts are cut into words once and stored as the numbers of the block's words (-1: any other word), which is
    all that later steps need; document frequencies of the block's terms come from there.
-2. Passages with at least ``LEAST_TERMS`` informative terms (rare ones, or among an item's rarest) as sparse rows.
+2. Passages with at least ``LEAST_TERMS`` informative terms (rare ones, or among an item passage's rarest) as sparse rows.
 3. Basis of rank ``RANK`` by power iterations ``Z = orth(A'A Z)`` with the rows spread out; partial products are
    summed in a tree.
-4. All stored texts: latent cosine of every such passage with every item; from ``LEAST_COSINE`` on, the longest
+4. All stored texts: latent cosine of every such passage with every passage of every item, and with the
+   whole item; from ``LEAST_COSINE`` on, the longest
    common subsequence of the item and the words around the passage decides: ``SURE`` of the item's words, or
    ``LIKELY`` of them together with the answer (the item's last sentence) word for word.
 """
@@ -60,6 +62,24 @@ def items_of(rows: list[tuple[int, str | None]]) -> list[Item]:
     return out
 
 
+def n_passages(items: list[Item]) -> int:
+    return sum(-(-len(item.words) // STRIDE) for item in items)
+
+
+def blocks_of(items: list[Item]) -> list[list[Item]]:
+    """Items in blocks of at most ``BLOCK_ITEMS`` passages, or of one item."""
+    out: list[list[Item]] = []
+    room = 0
+    for item in items:
+        n = n_passages([item])
+        if not out or n > room:
+            out.append([])
+            room = BLOCK_ITEMS
+        out[-1].append(item)
+        room -= n
+    return out
+
+
 def common_subsequence(item: dict[int, int], n: int, words: list[int]) -> int:
     """Length of the longest common subsequence; ``item``: the positions of each word as bits."""
     full = (1 << n) - 1
@@ -91,6 +111,8 @@ class Query:
     idf: np.ndarray
     basis: np.ndarray | None = None
     latent: np.ndarray | None = None
+    #: where each item's rows of ``latent`` begin
+    first: np.ndarray | None = None
 
     def __post_init__(self) -> None:
         self.words = [number_words(item.words, self.vocabulary) for item in self.items]
@@ -235,8 +257,9 @@ def decompose(sparse: DataFrame, query: Query) -> np.ndarray:
     chance would fill the basis, and items would leave the space they are searched in."""
     spark = sparse.sparkSession
     m = len(query.idf)
-    rank = min(RANK + 16, m)
     own = query.rows([w[j : j + PASSAGE] for w in query.words for j in range(0, max(1, len(w) - STRIDE), STRIDE)])
+    most = max(RANK, n_passages(query.items))
+    rank = min(most + 16, m)
     z = np.linalg.qr(np.random.default_rng(8).standard_normal((m, rank)))[0]
     n = max(sparse.rdd.getNumPartitions(), 1)
     n_rows = sparse.agg(F.coalesce(F.sum(F.length("offsets") / 4 - 1), F.lit(0.0)).alias("n")).first()["n"]
@@ -255,7 +278,7 @@ def decompose(sparse: DataFrame, query: Query) -> np.ndarray:
     y = _project(*own[2:], z)
     gram = _tree_sum(sparse.mapInArrow(_product(shared, True), "part binary"), n, (rank, rank)) + pull * (y.T @ y)
     values, vectors = np.linalg.eigh(gram)
-    best = np.argsort(-values)[:RANK]
+    best = np.argsort(-values)[:most]
     return (z @ vectors[:, best]).astype(np.float32)
 
 
@@ -266,7 +289,7 @@ def matches(query: Query, texts: list[np.ndarray]) -> list[dict[int, float]]:
     for i, j, a, b in _steps(offsets):
         y = _project(offsets[i : j + 1] - a, terms[a:b], weights[a:b], query.basis)
         # the part outside the latent space counts in the norm: the rows have norm 1
-        for p, q in zip(*np.nonzero(y @ query.latent.T >= LEAST_COSINE), strict=True):
+        for p, q in zip(*np.nonzero(np.maximum.reduceat(y @ query.latent.T, query.first, axis=1) >= LEAST_COSINE), strict=True):
             d, item = int(doc[i + p]), query.items[q]
             n = len(item.words)
             if item.item_id in found[d] and found[d][item.item_id] >= 1:
@@ -308,7 +331,8 @@ def prepare(stored: DataFrame, items: list[Item], vocabulary: dict[str, int], ph
     n_docs = df.pop(-1, 0)
     informative = {w for w, i in vocabulary.items() if df.get(i, 0) <= RARE * n_docs}
     for item in items:
-        informative.update(sorted(set(item.words), key=lambda w: (df.get(vocabulary[w], 0), w))[:RAREST])
+        for at in range(0, max(1, len(item.words) - STRIDE), STRIDE):
+            informative.update(sorted(set(item.words[at : at + PASSAGE]), key=lambda w: (df.get(vocabulary[w], 0), w))[:RAREST])
     term = np.full(len(vocabulary), -1, np.int32)
     term[[vocabulary[w] for w in sorted(informative)]] = np.arange(len(informative))
     idf = np.array([math.log((n_docs + 1) / (df.get(vocabulary[w], 0) + 1)) + 1e-3 for w in sorted(informative)])
@@ -316,13 +340,18 @@ def prepare(stored: DataFrame, items: list[Item], vocabulary: dict[str, int], ph
     sparse = phases.write(texts.mapInArrow(_sparse(spark.sparkContext.broadcast(query)), "offsets binary, terms binary, weights binary"), opaque=True)
     basis = decompose(sparse, query)
     phases.drop(sparse)
-    latent = np.zeros((len(items), basis.shape[1]), np.float32)
+    whole = np.zeros((len(items), basis.shape[1]), np.float32)
     for q, words in enumerate(query.words):
         terms = term[words]
         for t, tf in zip(*np.unique(terms[terms >= 0], return_counts=True), strict=True):
-            latent[q] += (1 + math.log(tf)) * idf[t] * basis[t]
-        norm = np.linalg.norm(latent[q])
-        latent[q] /= norm if norm else 1
+            whole[q] += (1 + math.log(tf)) * idf[t] * basis[t]
+    own, _, *rows = query.rows(query.words)
+    owner = np.concatenate([np.arange(len(items)), own])
+    order = np.argsort(owner, kind="stable")
+    latent = np.concatenate([whole, _project(*rows, basis)])[order].astype(np.float32)
+    norm = np.linalg.norm(latent, axis=1, keepdims=True)
+    latent /= np.where(norm > 0, norm, 1)
+    query.first = np.searchsorted(owner[order], np.arange(len(items)))
     query.basis, query.latent = basis, latent
     return query
 
@@ -352,9 +381,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
         # blocks of about BLOCK_ITEMS items; a fuller one is cut again below
         rows = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).orderBy("item_id").collect() if n_blocks > 1 else wanted.orderBy("item_id").collect()
         items = items_of([(r["item_id"], r["text"]) for r in rows])
-        for at in range(0, len(items), BLOCK_ITEMS):
-            some = items[at : at + BLOCK_ITEMS]
-            last = b == n_blocks - 1 and at + BLOCK_ITEMS >= len(items)
+        cut = blocks_of(items)
+        for at, some in enumerate(cut):
+            last = b == n_blocks - 1 and at == len(cut) - 1
             kept = columns if last else every
             fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", {answer}"
             vocabulary = {w: i for i, w in enumerate(sorted({w for item in some for w in item.words}))}

@@ -284,3 +284,23 @@ def test_language_model_keeps_every_state_that_passes(spark):
                 p *= (c - discount if c else discount * len(count)) / total / root[None]
             score += math.log10(p)
         assert math.isclose(got[i]["score"], score, rel_tol=1e-9), i
+
+
+def test_long_items_are_found(spark):
+    """Exact copies and paraphrases of items much longer than a passage, in texts that share their words."""
+    import random
+
+    draw = random.Random(8)
+    pool = [f"w{i}" for i in range(6000)]
+    items, texts = [], []
+    for k, n in enumerate((200, 400, 700, 1000)):
+        words = draw.sample(pool, n)
+        answer = " ".join(words[-6:])
+        items.append((k, " ".join(words[:-6]) + ". " + answer + "."))
+        for j, share in enumerate((1.0, 0.85, 0.7)):
+            changed = [w if draw.random() < share else draw.choice(pool) for w in words[:-6]]
+            texts.append((10 * k + j, " ".join([*draw.choices(pool, k=60), *changed, answer, *draw.choices(pool, k=60)])))
+    texts += [(1000 + i, " ".join(draw.choices(pool, k=300))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["leaked_items"] for r in decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: [i // 10] if i < 1000 else [] for i, _ in texts}
