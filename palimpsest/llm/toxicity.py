@@ -1,11 +1,12 @@
 """Toxicity scores from a lexicon matched through Levenshtein automata (operator 6).
 
 * The lexicon is a trie of terms: a short seed list and what the labelled training rows teach, whole words and stems
-  (``term*``) whose document frequencies differ significantly between the classes.
+  (``term*``) whose document frequencies differ significantly between the classes. The trie holds the seeds and the
+  learned words of four or more letters; stems are looked up as prefixes.
 * A word's Levenshtein automaton (one edit, swapped neighbours included) is intersected with the trie: the automaton's
   state is the edit-distance row, and a branch of the trie is left once no entry of the row is within one edit. Words
   that share no deletion variant with any term can't be within one edit and skip the walk.
-* Every hit is judged in a window of ``WINDOW`` words: quotation marks and reporting words make it a quotation,
+* Every hit but those by a stem, which are only counted, is judged in a window of ``WINDOW`` words: quotation marks and reporting words make it a quotation,
   second-person words make it abuse.
 * A logistic model over the hit counts gives the score, fitted by Newton's method with a Gaussian prior.
 
@@ -94,7 +95,7 @@ class Lexicon:
     near: frozenset[str] = field(init=False)
 
     def __post_init__(self) -> None:
-        fuzzy = sorted(t for t in self.seeds if len(t) >= 4)
+        fuzzy = sorted(t for t in self.seeds | self.words.keys() if len(t) >= 4)
         self.trie = Trie(fuzzy)
         self.near = frozenset(v for t in fuzzy for v in deletions(t))
 
@@ -144,8 +145,9 @@ class Reader:
             for w in own & self.hits.keys():
                 kind, weight = self.hits[w]
                 if kind in ("learned", "stems"):
-                    count[kind] += words.count(w) if kind == "stems" else 1
                     strongest = max(strongest, weight)
+                if kind == "stems":
+                    count[kind] += words.count(w)
                 else:
                     strong.append(w)
             if strong:
@@ -165,7 +167,7 @@ class Reader:
             return "quoted"
         if self.hits[token][0] == "misspelled":
             return "misspelled"
-        return "aimed" if not SECOND.isdisjoint(w.strip(PUNCTUATION) for w in around) else "plain"
+        return "aimed" if not SECOND.isdisjoint(w.strip(PUNCTUATION) for w in around) else self.hits[token][0]
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:

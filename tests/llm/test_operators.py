@@ -304,3 +304,11 @@ def test_long_items_are_found(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: r["leaked_items"] for r in decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {i: [i // 10] if i < 1000 else [] for i, _ in texts}
+
+
+def test_learned_words_are_matched_fuzzily_and_judged():
+    lexicon = toxicity.Lexicon({"ordure": 3.0, "abschaum": 3.0, "oaf": 3.0}, {}, frozenset({"ordures"}))
+    assert [lexicon.look_up(w) and lexicon.look_up(w)[0] for w in ("ordure", "odrure", "abschuam", "abschum", "oaff", "ordures", "idoit")] == ["learned", "misspelled", "misspelled", "misspelled", None, None, "misspelled"]
+    kinds = lambda text: {k for k, x in zip(toxicity.KINDS, toxicity.Reader(lexicon).features(text)[1:], strict=False) if x}
+    assert kinds("quelle ordure ici") == {"learned"} and kinds("tu es une ordure") == {"aimed"}
+    assert kinds('il a dit "ordure" hier') == {"quoted"} and kinds("du bist abschuam") == {"misspelled"} and kinds("stupid idea") == {"plain"}
