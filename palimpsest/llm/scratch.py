@@ -27,7 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 class Phases:
     """Writes phases as Parquet, so that a lost executor costs one phase at most, and drops those no longer read."""
 
+    live: list[Phases] = []
+
     def __init__(self, spark: SparkSession, name: str) -> None:
+        Phases.live.append(self)
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n, self.paths = 0, {}
 
@@ -44,6 +47,7 @@ class Phases:
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
+        """Removes written tables that nothing reads any more; other DataFrames are passed over."""
         for df in dfs:
             path, _ = self.paths.pop(id(df), (None, None))
             if path:
@@ -51,6 +55,14 @@ class Phases:
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    @classmethod
+    def release(cls, *keep: Phases) -> None:
+        """Drops all phases but those of ``keep``: for a caller that has written what its operators returned."""
+        for phases in cls.live:
+            if phases not in keep:
+                phases.drop(*(df for _, df in list(phases.paths.values())))
+        cls.live = [phases for phases in cls.live if phases in keep]
+
     def settle(self) -> None:
         """Has Spark drop the exchanges of finished phases, which it else does when the driver next runs low."""
         gc.collect()

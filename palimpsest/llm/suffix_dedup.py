@@ -32,13 +32,17 @@ from pyspark.sql import functions as F
 from . import textvec
 from .arrays import pack as _pack
 from .arrays import unpack as _unpack
-from .blocks import blocks, unpack
+from .blocks import PARTS, blocks, in_blocks, unpack
 from .grouping import partitions, sorted_groups
 from .scratch import Phases
 
 WINDOW, GRAM, SPAN, HOT = 50, 20, 64, 4096
 _LAST = np.iinfo(np.int64).max
 _TAG = 6
+#: A row's address in its block: the part above, the row in the part below.
+_ROW_BITS = 30
+_ROW_MASK = (1 << _ROW_BITS) - 1
+assert PARTS <= 4
 
 
 def _least(g: np.ndarray, width: int) -> np.ndarray:
@@ -97,19 +101,24 @@ def _anchors(id_col: str, text_col: str, n: int):
     """Phase 1, by block: (bucket, block, sorted anchors with the number of their documents)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = unpack(body.as_py())
+        for block, parts in in_blocks(batches):
+            keys, docs = [], []
+            for body in parts:
+                rows = unpack(body)
                 w = _Windows(rows.column(rows.schema.get_field_index(text_col)), _ids(rows, id_col))
                 order = np.lexsort((w.row, w.key))
                 key, row = w.key[order], w.row[order]
                 first = np.ones(len(key), dtype=bool)
                 first[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-                key, docs = np.unique(key[first], return_counts=True)
-                cut = np.searchsorted(_bucket(key, n), np.arange(n + 1))
-                some = [b for b in range(n) if cut[b + 1] > cut[b]]
-                data = [_pack(key=np.diff(key[cut[b] : cut[b + 1]], prepend=np.uint64(0)), docs=np.minimum(docs[cut[b] : cut[b + 1]], 65535).astype(np.uint16)) for b in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.int32()), pa.array([block] * len(some), type=pa.int64()), pa.array(data, type=pa.binary())], names=["bucket", "block", "data"])
+                key, n_docs = np.unique(key[first], return_counts=True)
+                keys.append(key)
+                docs.append(n_docs)
+            key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            docs = np.minimum(np.bincount(inverse, weights=np.concatenate(docs), minlength=len(key)), 65535).astype(np.uint16)
+            cut = np.searchsorted(_bucket(key, n), np.arange(n + 1))
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            data = [_pack(key=np.diff(key[cut[b] : cut[b + 1]], prepend=np.uint64(0)), docs=docs[cut[b] : cut[b + 1]]) for b in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.int32()), pa.array([block] * len(some), type=pa.int64()), pa.array(data, type=pa.binary())], names=["bucket", "block", "data"])
 
     return run
 
@@ -225,35 +234,42 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
 def _suffixes(id_col: str, text_col: str, n: int):
     """Phase 3, by block: front-coded runs of shared suffixes by bucket, and what the block alone decides."""
 
+    def shared_of(rows: pa.RecordBatch, keys: np.ndarray, hots: np.ndarray) -> tuple[list[bytes], np.ndarray, ...]:
+        """The shared suffixes of one part: strings, keys, doc_ids, rows, first bytes and numbers of windows."""
+        w = _Windows(rows.column(rows.schema.get_field_index(text_col)), _ids(rows, id_col))
+        found = np.minimum(np.searchsorted(keys, w.key), len(keys) - 1)
+        use = keys[found] == w.key
+        hot = use & (hots[found] == 1)
+        plain = use & ~hot
+        lo, hi, key = w.lo[plain], w.hi[plain], w.key[plain]
+        if hot.any():
+            counts = w.hi[hot] - w.lo[hot]
+            each = np.repeat(w.lo[hot] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            lo, hi = np.concatenate([lo, each]), np.concatenate([hi, each + 1])
+            key = np.concatenate([key, textvec.mix(textvec.rolling_hash(w.buf, WINDOW)[each]) >> np.uint64(64 - 8 * _TAG)])
+        raw = w.buf.tobytes()
+        tags = key.astype(">u8").tobytes()
+        records = [tags[8 * i + 2 : 8 * i + 8] + raw[a:b] for i, (a, b) in enumerate(zip(lo.tolist(), (hi + WINDOW - 1).tolist(), strict=True))]
+        row = np.searchsorted(w.offsets, lo, side="right") - 1
+        return records, key, w.ids[row], row, lo - w.offsets[row], hi - lo
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (block,), table in sorted_groups(batches, ["block"]):
-            bodies = [x for x in table["body"].to_pylist() if x is not None]
             told = [_unpack(x) for x in table["data"].to_pylist() if x is not None]
-            if not bodies or not told:
+            if not told:
                 continue
-            rows = unpack(bodies[0])
-            w = _Windows(rows.column(rows.schema.get_field_index(text_col)), _ids(rows, id_col))
             keys = np.concatenate([np.cumsum(p["key"], dtype=np.uint64) for p in told])
             hots = np.concatenate([p["hot"] for p in told])
             order = np.argsort(keys)
             keys, hots = keys[order], hots[order]
-            found = np.minimum(np.searchsorted(keys, w.key), len(keys) - 1)
-            use = keys[found] == w.key
-            hot = use & (hots[found] == 1)
-            plain = use & ~hot
-            lo, hi, key = w.lo[plain], w.hi[plain], w.key[plain]
-            if hot.any():
-                counts = w.hi[hot] - w.lo[hot]
-                each = np.repeat(w.lo[hot] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-                lo, hi = np.concatenate([lo, each]), np.concatenate([hi, each + 1])
-                key = np.concatenate([key, textvec.mix(textvec.rolling_hash(w.buf, WINDOW)[each]) >> np.uint64(64 - 8 * _TAG)])
-            raw = w.buf.tobytes()
-            tags = key.astype(">u8").tobytes()
-            records = [tags[8 * i + 2 : 8 * i + 8] + raw[a:b] for i, (a, b) in enumerate(zip(lo.tolist(), (hi + WINDOW - 1).tolist(), strict=True))]
+            records, some = [], []
+            for part, body in _bodies(table):
+                own, key, ids, row, start, width = shared_of(unpack(body), keys, hots)
+                records += own
+                some.append((key, ids, row | part << _ROW_BITS, start, width))
             if not records:
                 continue
-            row = np.searchsorted(w.offsets, lo, side="right") - 1
-            ids = w.ids[row]
+            key, ids, row, start, width = (np.concatenate(x) for x in zip(*some, strict=True))
             # one suffix of equal ones goes on: those of larger doc_id hold nothing that the smallest has not
             order = sorted(range(len(records)), key=records.__getitem__)
             ranked = [records[i] for i in order]
@@ -263,22 +279,18 @@ def _suffixes(id_col: str, text_col: str, n: int):
             group = np.cumsum(new) - 1
             least = np.minimum.reduceat(ids[order], np.flatnonzero(new))
             later = ids[order] > least[group]
-            start = lo[order] - w.offsets[row[order]]
-            width = (hi - lo)[order]
-            rows_of = row[order]
-            done = _pack(row=rows_of[later].astype(np.uint32), lo=start[later].astype(np.uint32), n=(width[later] + WINDOW - 1).astype(np.uint32))
+            row, start, width = row[order], start[order], width[order]
+            done = _pack(row=row[later].astype(np.uint32), lo=start[later].astype(np.uint32), n=(width[later] + WINDOW - 1).astype(np.uint32))
             strings = [r for r, f in zip(ranked, new, strict=True) if f]
             keep = ~later
-            owner, rows_of, start = group[keep], rows_of[keep], start[keep]
+            owner, row, start = group[keep], row[keep], start[keep]
             cut = np.searchsorted(_bucket(key[order][new], n), np.arange(n + 1))
             out = [(-1, done)] if later.any() else []
-            for b in range(n):
+            for b in np.flatnonzero(np.diff(cut)).tolist():
                 i, j = int(cut[b]), int(cut[b + 1])
-                if i == j:
-                    continue
                 known, lengths, rest = front_code(strings[i:j])
                 x, y = np.searchsorted(owner, [i, j])
-                out.append((b, _pack(known=known, lengths=lengths, rest=rest, least=least[i:j], owner=np.diff(owner[x:y] - i, prepend=0).astype(np.uint32), row=rows_of[x:y].astype(np.uint32), lo=start[x:y].astype(np.uint32))))
+                out.append((b, _pack(known=known, lengths=lengths, rest=rest, least=least[i:j], owner=np.diff(owner[x:y] - i, prepend=0).astype(np.uint32), row=row[x:y].astype(np.uint32), lo=start[x:y].astype(np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], type=pa.int32()), pa.array([block] * len(out), type=pa.int64()), pa.array([d for _, d in out], type=pa.binary())], names=["bucket", "block", "data"])
 
     return run
@@ -360,41 +372,43 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([blocks_[run]], type=pa.int64()), pa.array([data], type=pa.binary())], names=["block", "data"])
 
 
-_ADDED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_ADDED = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
 
 
 def _apply(columns: list[str], text_col: str, replace: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in sorted_groups(batches, ["block"]):
-            rows = unpack(next(x for x in table["body"].to_pylist() if x is not None))
             told = [_unpack(x) for x in table["data"].to_pylist() if x is not None]
-            buf, offsets = textvec.string_buffer(rows.column(rows.schema.get_field_index(text_col)))
-            mark = np.zeros(len(buf) + 1, dtype=np.int32)
-            for p in told:
-                at = offsets[p["row"]] + p["lo"]
-                np.add.at(mark, at, 1)
-                np.add.at(mark, at + p["n"], -1)
-            gone = np.cumsum(mark[:-1]) > 0
-            begin = gone.copy()
-            begin[1:] &= ~gone[:-1]
-            heads = offsets[:-1][offsets[:-1] < len(buf)]
-            begin[heads] = gone[heads]
-            sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])
-            kept = buf[~gone]
-            cut = offsets - np.concatenate([[0], np.cumsum(gone)])[offsets]
-            raw = kept.tobytes()
-            texts = [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            removed = sums(gone)
-            if replace:
-                old = rows.column(rows.schema.get_field_index(text_col))
-                new = [x.decode("utf-8", "ignore") if r else o for x, r, o in zip(texts, removed.tolist(), old.to_pylist(), strict=True)]
-                arrays = [pa.array(new, type=pa.string()) if c == text_col else rows.column(rows.schema.get_field_index(c)) for c in columns]
-            else:
-                arrays = [rows.column(rows.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(np.diff(offsets)), pa.array(removed), pa.array(sums(begin)), pa.array([hashlib.sha256(x).hexdigest() for x in texts])],
-                names=[*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
+            for part, body in _bodies(table):
+                yield answer(unpack(body), part, told)
+
+    def answer(rows: pa.RecordBatch, part: int, told: list[dict]) -> pa.RecordBatch:
+        buf, offsets = textvec.string_buffer(rows.column(rows.schema.get_field_index(text_col)))
+        mark = np.zeros(len(buf) + 1, dtype=np.int32)
+        for p in told:
+            own = p["row"] >> _ROW_BITS == part
+            at = offsets[p["row"][own] & _ROW_MASK] + p["lo"][own]
+            np.add.at(mark, at, 1)
+            np.add.at(mark, at + p["n"][own], -1)
+        gone = np.cumsum(mark[:-1]) > 0
+        begin = gone.copy()
+        begin[1:] &= ~gone[:-1]
+        heads = offsets[:-1][offsets[:-1] < len(buf)]
+        begin[heads] = gone[heads]
+        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])
+        kept = buf[~gone]
+        cut = offsets - np.concatenate([[0], np.cumsum(gone)])[offsets]
+        raw = kept.tobytes()
+        texts = [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        removed = sums(gone)
+        arrays = [rows.column(rows.schema.get_field_index(c)) for c in columns]
+        if replace:
+            new = [x.decode("utf-8", "ignore") if r else o for x, r, o in zip(texts, removed.tolist(), arrays[columns.index(text_col)].to_pylist(), strict=True)]
+            arrays[columns.index(text_col)] = pa.array(new, type=pa.string())
+        return pa.RecordBatch.from_arrays(
+            [*arrays, pa.array(np.diff(offsets)), pa.array(removed), pa.array(sums(begin)), pa.array([hashlib.sha256(x).hexdigest() for x in texts])],
+            names=[*columns, *_ADDED],
+        )
 
     return run
 
@@ -404,32 +418,43 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     A byte is removed if a 50-byte string that covers it, within its document, also starts in a document with a
     smaller doc_id. All strings are judged on the input. ``columns`` names the columns to return (all by default);
-    with ``replace`` the text becomes what stays, without bytes that no longer form UTF-8.
+    with ``replace`` the text, which must be among them, becomes what stays, without bytes that no longer form UTF-8.
 
     A null text counts as empty and stays null. A null doc_id counts as larger than all others; rows with one
-    doc_id don't remove from each other. An empty table gives an empty result. ``docs`` may have any other columns,
-    but for the four that are added.
+    doc_id don't remove from each other. An empty table gives an empty result. ``docs`` may have any other columns;
+    those named like an added one give way to it.
     """
     spark = docs.sparkSession
-    columns = list(columns or docs.columns)
+    columns = [c for c in columns or docs.columns if c not in _ADDED]
     phases = Phases(spark, "suffix")
     stored = blocks(docs.select(*dict.fromkeys([*columns, id_col, text_col])), text_col, phases)
-    n = max(partitions(spark), stored.count() // 4)
-    answers = _answers(stored, n, id_col, text_col, phases)
-    phases.settle()  # else the exchanges of all phases lie on disk together
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return _with_bodies(stored, answers, n).mapInArrow(_apply(columns, text_col, replace), f"{fields}, {_ADDED}")
+    n = partitions(spark)
+    # each phase is written and the exchanges before it dropped, so that they never lie on disk together
+    anchors = stored.mapInArrow(_anchors(id_col, text_col, n), "bucket int, block long, data binary")
+    shared = phases.write(anchors.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_shared, "block long, data binary"), opaque=True)
+    phases.settle()
+    runs = _with_bodies(stored, shared, n).mapInArrow(_suffixes(id_col, text_col, n), "bucket int, block long, data binary")
+    runs = runs.withColumn("to", F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket").cast("long")))
+    runs = runs.repartition(n, "to").sortWithinPartitions("bucket", "block").select("bucket", "block", "data")
+    answers = phases.write(runs.mapInArrow(_merge, "block long, data binary"), opaque=True)
+    phases.drop(shared)
+    phases.settle()
+    fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), *(f"{c} {t}" for c, t in _ADDED.items())])
+    out = _with_bodies(stored, answers, n).mapInArrow(_apply(columns, text_col, replace), fields)
+    if replace:
+        return out  # whoever writes the texts can drop what they came from: scratch.release()
+    out = phases.write(out)
+    phases.drop(stored, answers)
+    return out
 
 
 def _with_bodies(stored: DataFrame, answers: DataFrame, n: int) -> DataFrame:
-    both = stored.selectExpr("block", "body", "cast(null as binary) data").union(answers.selectExpr("block", "cast(null as binary) body", "data"))
-    return both.repartition(n, "block").sortWithinPartitions("block")
+    both = stored.selectExpr("block", "part", "body", "cast(null as binary) data").union(answers.selectExpr("block", "cast(null as int) part", "cast(null as binary) body", "data"))
+    return both.repartition(n, "block").sortWithinPartitions("block", "part")
 
 
-def _answers(stored: DataFrame, n: int, id_col: str, text_col: str, phases: Phases) -> DataFrame:
-    anchors = stored.mapInArrow(_anchors(id_col, text_col, n), "bucket int, block long, data binary")
-    shared = anchors.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_shared, "block long, data binary")
-    runs = _with_bodies(stored, shared, n).mapInArrow(_suffixes(id_col, text_col, n), "bucket int, block long, data binary")
-    spread = runs.withColumn("part", F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket").cast("long")))
-    spread = spread.repartition(n, "part").sortWithinPartitions("bucket", "block").select("bucket", "block", "data")
-    return phases.write(spread.mapInArrow(_merge, "block long, data binary"), opaque=True)
+def _bodies(table: pa.Table) -> Iterator[tuple[int, bytes]]:
+    """(part, body) of a block's rows, one at a time."""
+    for part, body in zip(table["part"], table["body"], strict=True):
+        if body.is_valid:
+            yield part.as_py(), body.as_py()
