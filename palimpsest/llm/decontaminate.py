@@ -5,12 +5,13 @@ every ``STRIDE``), then cosine search in the latent space, then a word-level lon
 check on each candidate's surroundings.
 
 The benchmark is taken in blocks of items with at most ``BLOCK_ITEMS`` passages (a longer item is a block of its own),
-whatever its size; a block's terms, weights and
-latent basis are what is broadcast. Document frequencies, the decomposition and the search cover all documents.
+whatever its size, and ``SHELF`` blocks are searched together; their terms, weights and latent bases are what is
+broadcast. Document frequencies, the decomposition and the search cover all documents.
 
-1. All texts are cut into words once and stored as the numbers of the block's words (-1: any other word), which is
-   all that later steps need; document frequencies of the block's terms come from there.
-2. Passages with at least ``LEAST_TERMS`` informative terms (rare ones, or among an item passage's rarest) as sparse rows.
+1. All texts are cut into words once a shelf and stored as the numbers of the shelf's words (-1: any other word), which
+   is all that later steps need; document frequencies of the shelf's terms come from there.
+2. Passages with at least ``LEAST_TERMS`` informative terms (rare ones, or among an item passage's rarest) as sparse
+   rows; one is enough if it is of an item with fewer than ``SHORT`` words, which may have no other.
 3. Basis of rank ``RANK`` by power iterations ``Z = orth(A'A Z)`` with the rows spread out; partial products are
    summed in a tree.
 4. All stored texts: latent cosine of every such passage with every passage of every item, and with the
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .grouping import partitions
 from .scratch import Phases
 
-PASSAGE, STRIDE, BLOCK_ITEMS, RANK, POWER = 48, 24, 256, 384, 2
+PASSAGE, STRIDE, BLOCK_ITEMS, SHELF, RANK, POWER = 48, 24, 256, 4, 384, 2
 RARE, RAREST, LEAST_TERMS, LEAST_COSINE, SURE, LIKELY, SHORT = 0.002, 8, 2, 0.35, 0.8, 0.6, 8
 _WORD = re.compile(r"\w+")
 
@@ -109,6 +110,8 @@ class Query:
     vocabulary: dict[str, int]
     term: np.ndarray
     idf: np.ndarray
+    #: terms of items that may have no second one
+    sole: np.ndarray
     basis: np.ndarray | None = None
     latent: np.ndarray | None = None
     #: where each item's rows of ``latent`` begin
@@ -143,6 +146,8 @@ class Query:
         row, term = np.divmod(cell, len(self.idf))
         rows, size = np.unique(row, return_counts=True)
         enough = size >= LEAST_TERMS
+        if self.sole.any() and len(rows):
+            enough |= np.logical_or.reduceat(self.sole[term], np.cumsum(size) - size)
         keep = np.repeat(enough, size)
         offsets = np.concatenate([[0], np.cumsum(size[enough])])
         weight = (1 + np.log(tf[keep])) * self.idf[term[keep]]
@@ -307,14 +312,19 @@ def matches(query: Query, texts: list[np.ndarray]) -> list[dict[int, float]]:
     return found
 
 
-def _search(query, words_at: int, names: list[str]):
-    """All columns but the word numbers, the last, with what a block's items add."""
+def _search(queries, words_at: int, names: list[str]):
+    """All columns but the word numbers, the last, with what a shelf's items add."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = matches(query.value, [numbered(t) for t in part.column(words_at)])
+                texts = [numbered(t) for t in part.column(words_at)]
+                found: list[dict[int, float]] = [{} for _ in texts]
+                for query in queries:
+                    for own, more in zip(found, matches(query.value, texts), strict=True):
+                        for item, share in more.items():
+                            own[item] = max(share, own.get(item, 0.0))
                 lists = pa.array([sorted(f) for f in found], pa.list_(pa.int64()))
                 shares = pa.array([max(f.values(), default=0.0) for f in found], pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:words_at], lists, shares], names=names)
@@ -322,21 +332,28 @@ def _search(query, words_at: int, names: list[str]):
     return run
 
 
-def prepare(stored: DataFrame, items: list[Item], vocabulary: dict[str, int], phases: Phases) -> Query:
-    """Weights and latent basis of a block of items over all ``stored`` texts."""
-    spark = stored.sparkSession
-    texts = stored.select(_WORDS)
-    seen = texts.mapInArrow(_frequencies(len(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = {r["term"]: r["n"] for r in seen}
-    n_docs = df.pop(-1, 0)
-    informative = {w for w, i in vocabulary.items() if df.get(i, 0) <= RARE * n_docs}
+def frequencies(texts: DataFrame, n_words: int) -> tuple[np.ndarray, int]:
+    """In how many texts each word of the shelf is, and the number of texts."""
+    seen = texts.mapInArrow(_frequencies(n_words), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = seen["term"].to_numpy(), seen["n"].to_numpy()
+    df = np.zeros(n_words, np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term < 0].sum())
+
+
+def prepare(texts: DataFrame, items: list[Item], vocabulary: dict[str, int], df: np.ndarray, n_docs: int, phases: Phases) -> Query:
+    """Weights and latent basis of a block of items over all ``texts``, given as word numbers of the shelf."""
+    spark = texts.sparkSession
+    words = sorted({w for item in items for w in item.words})
+    informative = {w for w in words if df[vocabulary[w]] <= RARE * n_docs}
     for item in items:
         for at in range(0, max(1, len(item.words) - STRIDE), STRIDE):
-            informative.update(sorted(set(item.words[at : at + PASSAGE]), key=lambda w: (df.get(vocabulary[w], 0), w))[:RAREST])
+            informative.update(sorted(set(item.words[at : at + PASSAGE]), key=lambda w: (df[vocabulary[w]], w))[:RAREST])
     term = np.full(len(vocabulary), -1, np.int32)
     term[[vocabulary[w] for w in sorted(informative)]] = np.arange(len(informative))
-    idf = np.array([math.log((n_docs + 1) / (df.get(vocabulary[w], 0) + 1)) + 1e-3 for w in sorted(informative)])
-    query = Query(items, vocabulary, term, idf)
+    idf = np.array([math.log((n_docs + 1) / (df[vocabulary[w]] + 1)) + 1e-3 for w in sorted(informative)])
+    short = {w for item in items if len(item.words) < SHORT for w in item.words}
+    query = Query(items, {w: vocabulary[w] for w in words}, term, idf, np.array([w in short for w in sorted(informative)], bool))
     sparse = phases.write(texts.mapInArrow(_sparse(spark.sparkContext.broadcast(query)), "offsets binary, terms binary, weights binary"), opaque=True)
     basis = decompose(sparse, query)
     phases.drop(sparse)
@@ -356,43 +373,55 @@ def prepare(stored: DataFrame, items: list[Item], vocabulary: dict[str, int], ph
     return query
 
 
-_WORDS = "words_"
+_ADDED = {"leaked_items": "array<bigint>", "leak_share": "double"}
+
+
+def shelves(wanted: DataFrame) -> Iterator[tuple[list[list[Item]], bool]]:
+    """(blocks of items to be searched together, whether they are the last); no more than a shelf is held at once."""
+    n_parts = max(1, -(-wanted.count() // (SHELF * BLOCK_ITEMS)))
+    held: list[list[Item]] = []
+    for part in range(n_parts):
+        rows = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part) if n_parts > 1 else wanted
+        held += blocks_of(items_of([(r["item_id"], r["text"]) for r in rows.orderBy("item_id", "text").collect()]))
+        while len(held) > SHELF:
+            yield held[:SHELF], False
+            held = held[SHELF:]
+    yield held, True
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (all by default) with leaked_items (sorted item ids found in the text) and leak_share (of
     the item's words, at most 1).
 
-    Null or empty texts and items match nothing; repeated rows and items are judged alike; an empty benchmark finds
-    nothing and an empty table stays empty. leaked_items, leak_share and words_ must be free.
+    Null or empty texts and items match nothing; repeated rows and items are judged alike, items of one id as one; an
+    empty benchmark finds nothing and an empty table stays empty. Columns of ``docs`` named like an added one give way.
     """
-    columns = list(columns or docs.columns)
-    for c in ("leaked_items", "leak_share", _WORDS):
-        if c in docs.columns:
-            raise ValueError(f"column {c} is taken")
+    docs = docs.drop(*_ADDED)
+    columns = [c for c in columns or docs.columns if c not in _ADDED]
     spark = docs.sparkSession
     phases = Phases(spark, "leaks")
-    wanted = benchmark.select(benchmark[item_id].cast("long").alias("item_id"), benchmark[item_text].alias("text"))
-    n_blocks = -(-wanted.count() // BLOCK_ITEMS)
-    out = docs.withColumn("leaked_items", F.expr("cast(array() as array<bigint>)")).withColumn("leak_share", F.lit(0.0))
-    every = [*dict.fromkeys([*columns, text_col])]
-    answer = "leaked_items array<bigint>, leak_share double"
-    for b in range(n_blocks):
-        # blocks of about BLOCK_ITEMS items; a fuller one is cut again below
-        rows = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).orderBy("item_id").collect() if n_blocks > 1 else wanted.orderBy("item_id").collect()
-        items = items_of([(r["item_id"], r["text"]) for r in rows])
-        cut = blocks_of(items)
-        for at, some in enumerate(cut):
-            last = b == n_blocks - 1 and at == len(cut) - 1
-            kept = columns if last else every
-            fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", {answer}"
-            vocabulary = {w: i for i, w in enumerate(sorted({w for item in some for w in item.words}))}
-            source = out.select(*every, "leaked_items", "leak_share")
-            at_ = [source.columns.index(c) for c in (*kept, "leaked_items", "leak_share")]
-            names = [*kept, "leaked_items", "leak_share"]
-            number = _number(spark.sparkContext.broadcast(vocabulary), source.columns.index(text_col), at_, [*names, _WORDS])
-            stored = phases.write(source.mapInArrow(number, f"{fields}, {_WORDS} binary"))
-            query = spark.sparkContext.broadcast(prepare(stored, some, vocabulary, phases))
-            found = stored.mapInArrow(_search(query, len(names), [*names, "more_items", "more_share"]), f"{fields}, more_items array<bigint>, more_share double")
-            out = found.select(*kept, F.array_sort(F.array_union("leaked_items", "more_items")).alias("leaked_items"), F.greatest("leak_share", "more_share").alias("leak_share"))
-    return out.select(*columns, "leaked_items", "leak_share")
+    wanted = phases.write(benchmark.select(benchmark[item_id].cast("long").alias("item_id"), benchmark[item_text].alias("text")).filter("item_id is not null and text is not null").distinct())
+    out = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*columns, text_col])), F.expr("cast(array() as array<bigint>)").alias("leaked_items"), F.lit(0.0).alias("leak_share"))
+    before = None
+    for cut, last in shelves(wanted):
+        kept = [*(columns if last else out.columns[:-2]), *_ADDED]
+        number_col, more = _free("words", kept), [_free("more_items", kept), _free("more_share", kept)]
+        fields = ", ".join(f"`{c}` {out.schema[c].dataType.simpleString()}" for c in kept)
+        vocabulary = {w: i for i, w in enumerate(sorted({w for some in cut for item in some for w in item.words}))}
+        number = _number(spark.sparkContext.broadcast(vocabulary), out.columns.index(text_col), [out.columns.index(c) for c in kept], [*kept, number_col])
+        stored = phases.write(out.mapInArrow(number, f"{fields}, `{number_col}` binary"))
+        if before is not None:
+            phases.drop(before)
+        before, texts = stored, stored.select(number_col)
+        df, n_docs = frequencies(texts, len(vocabulary))
+        queries = [spark.sparkContext.broadcast(prepare(texts, some, vocabulary, df, n_docs, phases)) for some in cut]
+        found = stored.mapInArrow(_search(queries, len(kept), [*kept, *more]), f"{fields}, `{more[0]}` array<bigint>, `{more[1]}` double")
+        items = F.array_sort(F.array_union("leaked_items", F.col(more[0])))
+        out = found.select(*(F.col(f"`{c}`") for c in kept[:-2]), items.alias("leaked_items"), F.greatest("leak_share", F.col(more[1])).alias("leak_share"))
+    return out
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
