@@ -3,9 +3,9 @@
 * The lexicon is a trie of terms: a short seed list and what the labelled training rows teach, whole words and stems
   (``term*``) whose document frequencies differ significantly between the classes. The trie holds the seeds and the
   learned words of four or more letters; stems are looked up as prefixes.
-* A word's Levenshtein automaton (one edit, swapped neighbours included) is intersected with the trie: the automaton's
-  state is the edit-distance row, and a branch of the trie is left once no entry of the row is within one edit. Words
-  that share no deletion variant with any term can't be within one edit and skip the walk.
+* A word's Levenshtein automaton (one edit, swapped neighbours included) is intersected with the trie: its states are
+  the letters of the word that are used up and whether an edit is left, and a branch of the trie is left once no state
+  remains. Words that share no deletion variant with any term can't be within one edit and skip the walk.
 * Every hit but those by a stem, which are only counted, is judged in a window of ``WINDOW`` words: quotation marks and reporting words make it a quotation,
   second-person words make it abuse.
 * A logistic model over the hit counts gives the score, fitted by Newton's method with a Gaussian prior.
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Phases
 
-SAMPLE, MAX_TERMS, WINDOW = 20_000, 2000, 6
+SAMPLE, WINDOW = 20_000, 6
+#: Distinct terms that a task counts before it hands them on; characters of tokens that a reader remembers.
+COUNTED, REMEMBERED = 200_000, 32 << 20
 #: A learned term is in so many toxic texts, with so many standard errors between the classes' log odds.
 LEAST_TEXTS, LEAST_Z, LEAST_WEIGHT = 4, 4.0, 1.5
 SEED = ("idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "loser", "losers", "clown", "pathetic", "worthless", "disgusting", "dumbass", "bastard", "imbecile", "garbage", "vermin")
@@ -59,28 +61,41 @@ class Trie:
             node[None] = term
 
     def within_one(self, word: str) -> list[tuple[str, int]]:
-        """Terms at an edit distance of at most one from the word: the trie walked under its automaton."""
-        found: list[tuple[str, int]] = []
-        first = list(range(len(word) + 1))
-
-        def walk(node: dict, c: str, row: list[int], before: list[int] | None, last: str) -> None:
-            new = [row[0] + 1]
-            for i, w in enumerate(word, 1):
-                cost = min(new[i - 1] + 1, row[i] + 1, row[i - 1] + (w != c))
-                if before is not None and i > 1 and w == last and word[i - 2] == c:
-                    cost = min(cost, before[i - 2] + 1)
-                new.append(cost)
-            if None in node and new[-1] <= 1:
-                found.append((node[None], new[-1]))
-            if min(new) <= 1:
-                for d, child in node.items():
-                    if d is not None:
-                        walk(child, d, new, row, c)
-
-        for c, child in self.root.items():
-            if c is not None:
-                walk(child, c, first, None, "")
-        return found
+        """Terms at an edit distance of at most one from the word: the trie walked under its automaton.
+
+        The automaton's states without an edit follow the word itself down the trie; each of them leads, by every edit,
+        to states that have none left and must follow the rest of the word."""
+        found: dict[str, int] = {}
+        node, n = self.root, len(word)
+        for i in range(n + 1):
+            for c, child in node.items():
+                if c is None:
+                    if i == n:
+                        found[child] = 0
+                    continue
+                self._rest(child, word, i, found)  # a letter that the word lacks
+                if i < n and c != word[i]:
+                    self._rest(child, word, i + 1, found)  # another letter
+            if i == n:
+                break
+            self._rest(node, word, i + 1, found)  # a letter too many
+            if i + 1 < n and word[i + 1] in node:
+                swapped = node[word[i + 1]].get(word[i])
+                if swapped is not None:
+                    self._rest(swapped, word, i + 2, found)
+            if word[i] not in node:
+                break
+            node = node[word[i]]
+        return list(found.items())
+
+    @staticmethod
+    def _rest(node: dict, word: str, i: int, found: dict[str, int]) -> None:
+        for c in word[i:]:
+            node = node.get(c)
+            if node is None:
+                return
+        if None in node:
+            found.setdefault(node[None], 1)
 
 
 @dataclass
@@ -92,11 +107,13 @@ class Lexicon:
     clean: frozenset[str]
     seeds: frozenset[str] = frozenset(SEED)
     trie: Trie = field(init=False)
+    longest: int = field(init=False)
     near: frozenset[str] = field(init=False)
 
     def __post_init__(self) -> None:
         fuzzy = sorted(t for t in self.seeds | self.words.keys() if len(t) >= 4)
         self.trie = Trie(fuzzy)
+        self.longest = max(map(len, fuzzy), default=0) + 1
         self.near = frozenset(v for t in fuzzy for v in deletions(t))
 
     def look_up(self, raw: str) -> tuple[str, float] | None:
@@ -111,33 +128,39 @@ class Lexicon:
         stem = max((self.stems.get(word[:n], 0.0) for n in STEMS if len(word) >= n), default=0.0)
         if stem:
             return "stems", stem
-        if 3 <= len(word) <= 16 and word not in self.clean:
+        if 3 <= len(word) <= self.longest and word not in self.clean:
             folded = raw.strip(PUNCTUATION.replace("@", "").replace("$", "").replace("!", "")).translate(LEET)
             if folded != word and folded in self.seeds:
                 return "misspelled", 3.0
-            if not self.near.isdisjoint(deletions(word)) and self.trie.within_one(word):
+            if self.close(word):
                 return "misspelled", 3.0
         return None
 
+    def close(self, word: str) -> bool:
+        """Whether a word is within one edit of a term."""
+        return len(word) <= self.longest and not self.near.isdisjoint(deletions(word)) and bool(self.trie.within_one(word))
+
 
 class Reader:
-    """Features of texts; remembers the tokens that it has judged."""
+    """Features of texts; remembers the tokens that it has judged, ``room`` characters of them (64 more for each)."""
 
-    def __init__(self, lexicon: Lexicon, room: int = 400_000) -> None:
-        self.lexicon, self.room = lexicon, room
+    def __init__(self, lexicon: Lexicon, room: int = REMEMBERED) -> None:
+        self.lexicon, self.room, self.held = lexicon, room, 0
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[str, float]] = {}
 
     def features(self, text: str | None) -> list[float]:
         words = (text or "").lower().split()
         own = set(words)
-        if len(self.seen) > self.room:
-            self.seen, self.hits = set(), {}
-        for w in own - self.seen:
+        if self.held > self.room:
+            self.seen, self.hits, self.held = set(), {}, 0
+        fresh = own - self.seen
+        for w in fresh:
             hit = self.lexicon.look_up(w)
             if hit:
                 self.hits[w] = hit
-        self.seen |= own
+        self.seen |= fresh
+        self.held += sum(map(len, fresh)) + 64 * len(fresh)
         count: Counter[str] = Counter()
         strongest = 0.0
         if not self.hits.keys().isdisjoint(own):
@@ -184,9 +207,21 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
+_TERMS = pa.schema([("term", pa.string()), ("stem", pa.bool_()), ("toxic", pa.int64()), ("clean", pa.int64())])
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, stem, toxic texts, clean texts) summed over a partition, and the number of texts as the empty term."""
+    """(term, stem, toxic texts, clean texts), and the number of texts as the empty term; partial sums, handed on
+    whenever ``COUNTED`` terms are held."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def flush() -> pa.RecordBatch:
+        keys = list(counts[0].keys() | counts[1].keys())
+        out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([k[0] for k in keys], [k[1] for k in keys], [counts[0][k] for k in keys], [counts[1][k] for k in keys]), _TERMS.types, strict=True)], schema=_TERMS)
+        for c in counts:
+            c.clear()
+        return out
+
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             words = {w.strip(PUNCTUATION) for w in (text.as_py() or "").lower().split()} - {""}
@@ -194,10 +229,20 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             to.update((w, False) for w in words if len(w) >= 3)
             to.update({(w[:n], True) for w in words for n in STEMS if len(w) > n})
             to["", False] += 1
-    keys = list(counts[0].keys() | counts[1].keys())
-    for i in range(0, len(keys), 100_000):
-        some = keys[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in some]), pa.array([k[1] for k in some], pa.bool_()), pa.array([counts[0][k] for k in some], pa.int64()), pa.array([counts[1][k] for k in some], pa.int64())], names=["term", "stem", "toxic", "clean"])
+            if len(counts[0]) + len(counts[1]) >= COUNTED:
+                yield flush()
+    yield flush()
+
+
+def _close(lexicon):
+    """Terms, one a row, that are within one edit of the lexicon's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lexicon.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.close(w) for w in batch.column(0).to_pylist()], pa.bool_()))
+
+    return run
 
 
 @dataclass
@@ -224,9 +269,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         f"ln((toxic + 0.5) / ({n_toxic} - toxic + 0.5)) - ln((clean + 0.5) / ({n_clean} - clean + 0.5)) as weight",
         f"sqrt(1 / (toxic + 0.5) + 1 / ({n_toxic} - toxic + 0.5) + 1 / (clean + 0.5) + 1 / ({n_clean} - clean + 0.5)) as error",
     ).filter(f"weight >= {LEAST_WEIGHT} and weight >= {LEAST_Z} * error")
-    kept = odds.orderBy(F.desc(F.expr("weight / error")), "term", "stem").limit(MAX_TERMS).collect()
-    clean = terms.filter("not stem and clean >= 3 and length(term) between 3 and 16").orderBy(F.desc("clean"), "term").limit(50_000).select("term").collect()
-    lexicon = Lexicon({r["term"]: r["weight"] for r in kept if not r["stem"]}, {r["term"]: r["weight"] for r in kept if r["stem"]}, frozenset(r["term"] for r in clean))
+    # as many as the sample's toxic texts have in common, at most: the sample bounds them
+    kept = odds.orderBy("term", "stem").collect()
+    words, stems = ({r["term"]: r["weight"] for r in kept if r["stem"] == x} for x in (False, True))
+    lexicon = Lexicon(words, stems, frozenset())
+    # words of clean texts aren't misspellings; only those that could be taken for one matter
+    own = terms.filter("not stem and clean >= 3 and length(term) >= 3").select("term")
+    lexicon.clean = frozenset(r["term"] for r in own.mapInArrow(_close(spark.sparkContext.broadcast(lexicon)), "term string").collect())
     shared = spark.sparkContext.broadcast(lexicon)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,10 +293,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
     """``docs`` with a score from 0 to 1 (higher: more likely toxic); a null or empty text has the score of no hits.
 
-    Every row is scored by its own text, repeated rows alike; an empty table stays empty. ``score_col`` must be free.
+    Every row is scored by its own text, repeated rows alike; an empty table stays empty. A column of ``docs`` that is
+    named like ``score_col`` gives way to the score.
     """
-    if score_col in docs.columns:
-        raise ValueError(f"column {score_col} is taken")
+    docs = docs.drop(score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     names = [*docs.columns, score_col]
