@@ -41,14 +41,15 @@ def hash_key(*columns: Column) -> Column:
     return F.xxhash64(*columns)
 
 
-def components(incidence: DataFrame, phases: Phases) -> DataFrame:
-    """(node, component): the least node reachable through shared hubs, from rows (node, hub).
+def components(incidence: DataFrame, phases: Phases, *, stored: bool = False) -> DataFrame:
+    """(node, component): the least node reachable through shared hubs, from rows (node, hub); ``stored`` if they are
+    distinct and written already.
 
     Each round takes the least label of every hub (summed map-side, so a hub with most of the nodes costs one row
     a task), hands it to the hub's nodes and then jumps to the label of the label. Rounds are written out and only
     the number of changed labels reaches the driver.
     """
-    links = phases.write(incidence.select("node", "hub").distinct())
+    links = incidence if stored else phases.write(incidence.select("node", "hub").distinct())
     labels = phases.write(links.groupBy("node").agg(F.min("node").alias("component")))
     while True:
         hubs = links.join(labels, "node").groupBy("hub").agg(F.min("component").alias("least"))
@@ -60,5 +61,6 @@ def components(incidence: DataFrame, phases: Phases) -> DataFrame:
         phases.drop(labels, told)
         labels = moved
         if not changed:
-            phases.drop(links)
+            if not stored:
+                phases.drop(links)
             return labels
