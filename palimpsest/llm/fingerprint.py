@@ -2,11 +2,13 @@
 
 Method: FracMinHash (Irber et al., "Lightweight compositional analysis of metagenomes", 2022). A sketch holds every
 distinct shingle hash below a fixed fraction, ``1 / SCALE``, of the hash range. The fraction doesn't depend on the
-document, so sketches merge by union and containment can be estimated between texts of very unequal sizes.
+document, so sketches merge by union and containment can be estimated between texts of very unequal sizes. Sets of up
+to ``WHOLE`` shingles, of which a fraction would leave next to nothing, are kept whole, that is at a scale of 1; two
+sketches are compared and merged at the larger of their scales, to which the other is thinned.
 
 A fingerprint is a string ``<scale>.<distinct shingles>.<base64>``, where the last part holds the kept hashes in
-ascending order, six bytes each. A text with so few shingles that none is kept carries the digest of its set
-there instead, after a ``!``, so that equal texts have equal fingerprints and others differ.
+ascending order, six bytes each. Should none of a larger set be kept, the digest of the set stands there instead,
+after a ``!``, so that equal texts have equal fingerprints and others differ.
 """
 
 from __future__ import annotations
@@ -23,55 +25,66 @@ from pyspark.sql import functions as F
 from . import textvec
 from .grouping import partitions
 
-SCALE, WORDS, _WIDTH = 8, 5, 6
+SCALE, WHOLE, WORDS, _WIDTH = 8, 64, 5, 6
+
+
+def _written(scale: int, n: int, kept: np.ndarray) -> str:
+    """``kept``: the first six bytes of the hashes as numbers, ascending."""
+    raw = np.ascontiguousarray(kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - _WIDTH :]).tobytes()
+    return f"{scale}.{n}.{base64.b64encode(raw).decode()}"
 
 
 def encode(shingles: np.ndarray, scale: int = SCALE) -> str:
     """The fingerprint of sorted distinct shingle hashes."""
-    # every hash below the threshold; only its first six bytes are written
+    scale = 1 if len(shingles) <= WHOLE else scale
     kept = shingles[: np.searchsorted(shingles, np.uint64((1 << 64) // scale - 1), side="right")]
-    if len(kept):
-        body = base64.b64encode(np.ascontiguousarray(kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH]).tobytes()).decode()
-    else:
-        body = "!" + hashlib.blake2b(shingles.tobytes(), digest_size=12).hexdigest()
-    return f"{scale}.{len(shingles)}.{body}"
+    if len(shingles) and not len(kept):
+        return f"{scale}.{len(shingles)}.!" + hashlib.blake2b(shingles.tobytes(), digest_size=12).hexdigest()
+    return _written(scale, len(shingles), kept >> np.uint64(64 - 8 * _WIDTH))
 
 
-def decode(fingerprint: str) -> tuple[int, int, np.ndarray | str]:
+def decode(fingerprint: str) -> tuple[int, int, np.ndarray]:
+    """Scale, number of shingles and the kept hashes."""
     scale, n, body = fingerprint.split(".")
-    if body.startswith("!"):
-        return int(scale), int(n), body
-    raw = np.frombuffer(base64.b64decode(body), np.uint8).reshape(-1, _WIDTH)
+    raw = np.frombuffer(b"" if body.startswith("!") else base64.b64decode(body), np.uint8).reshape(-1, _WIDTH)
     return int(scale), int(n), np.pad(raw, ((0, 0), (8 - _WIDTH, 0))).view(">u8").ravel().astype(np.uint64)
 
 
+def _thinned(a: str, b: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """The common scale of two fingerprints and their distinct kept hashes at it."""
+    (s, _, x), (t, _, y) = decode(a), decode(b)
+    scale = max(s, t)
+    most = np.uint64((1 << 8 * _WIDTH) // scale - 1)
+    return scale, *(np.unique(z[z <= most]) for z in (x, y))
+
+
 def likeness(a: str, b: str) -> float:
-    """Estimated Jaccard similarity of two fingerprinted sets."""
+    """Estimated Jaccard similarity of two fingerprinted sets; exact for two sets of ``WHOLE`` shingles or fewer."""
     if a == b:
         return 1.0
-    x, y = decode(a)[2], decode(b)[2]
-    if isinstance(x, str) or isinstance(y, str):
-        return 0.0
-    both = len(np.intersect1d(x, y, assume_unique=False))
-    return both / (len(np.unique(x)) + len(np.unique(y)) - both)
+    _, x, y = _thinned(a, b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(len(x) + len(y) - both, 1)
 
 
 def containment(a: str, b: str) -> float:
-    """Estimated share of a's shingles that b has."""
-    x, y = decode(a)[2], decode(b)[2]
-    if isinstance(x, str) or isinstance(y, str):
-        return float(a == b)
-    return len(np.intersect1d(x, y)) / len(np.unique(x))
+    """Estimated share of a's shingles that b has; 0 where nothing of a is left at the common scale."""
+    if a == b:
+        return 1.0
+    _, x, y = _thinned(a, b)
+    return len(np.intersect1d(x, y, assume_unique=True)) / max(len(x), 1)
 
 
 def merge(a: str, b: str) -> str:
-    """The kept hashes of the union; the shingle count is their number over the fraction."""
-    (scale, n, x), (_, m, y) = decode(a), decode(b)
-    if isinstance(x, str) or isinstance(y, str):
-        return b if isinstance(x, str) else a
-    both = np.unique(np.concatenate([x, y]))
-    raw = np.ascontiguousarray(both.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - _WIDTH :]).tobytes()
-    return f"{scale}.{min(n + m, len(both) * scale)}.{base64.b64encode(raw).decode()}"
+    """The fingerprint of the union, its count estimated where one of the two isn't whole."""
+    scale, x, y = _thinned(a, b)
+    both = np.union1d(x, y)
+    if scale == 1 and len(both) > WHOLE:
+        scale, n = SCALE, len(both)
+        both = both[both <= np.uint64((1 << 8 * _WIDTH) // scale - 1)]
+    else:
+        n = len(both) * scale
+    return _written(scale, n, both)
 
 
 def fingerprints_of(texts: list[str], k: int, scale: int) -> list[str]:

@@ -3,7 +3,12 @@
 Method: German, Manabe and Inoue, "A sentence-matching method for automatic license identification" (2010). Texts are
 cut into sentences, sentences normalised, and known ones mapped to identifiers. Rules, sequences of identifiers, are
 then applied in order to each text's identifier sequence; a rule that matches consumes its identifiers, so longer and
-more specific rules come first. Identifiers that no rule consumes are reported as such.
+more specific rules come first. Identifiers that no rule consumes are reported as such, and so is the number of
+sentences that speak of licences without being known.
+
+A sentence goes on over line breaks: comment marks at the start of a line are dropped, and only an empty line or a
+mark of its end with a blank behind it cuts. A known sentence is found wherever it stands in one, on word boundaries,
+longer ones first ("this file is licensed under the mit license").
 
 Everything is a row's own expression: no shuffle, no Python, whatever the text's length.
 """
@@ -28,6 +33,11 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("MITRef", "this software is released under the mit license"),
     ("MITTitle", "the mit license"),
     ("MITTitle", "mit license"),
+    ("MITRef", "under the terms of the mit license"),
+    ("MITRef", "distributed under the mit license"),
+    ("ApacheLic2", "released under the apache license version 2.0"),
+    ("GPL3Ref", "under the terms of the gnu general public license version 3"),
+    ("BSDNoWarranty", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("MITPerm", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and/or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("MITNotice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("MITAsIs", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
@@ -52,7 +62,6 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("CCBY4", "this work is licensed under a creative commons attribution 4.0 international license"),
     ("CC0", "licensed under cc0 1.0"),
     ("AllRights", "all rights reserved"),
-    ("Copyright", "copyright"),
     ("SpdxMIT", "spdx-license-identifier mit"),
     ("SpdxApache2", "spdx-license-identifier apache-2.0"),
     ("SpdxGPL3", "spdx-license-identifier gpl-3.0-only"),
@@ -84,6 +93,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MPL-2.0", ("MPL2Ref",)),
     ("BSD-3-Clause", ("BSDRef3",)),
     ("BSD-2-Clause", ("BSDRef2",)),
+    ("BSD", ("BSDPerm", "BSDNoWarranty")),
     ("BSD", ("BSDPerm",)),
     ("CC-BY-NC-4.0", ("CCBYNC4",)),
     ("CC-BY-SA-4.0", ("CCBYSA4",)),
@@ -92,21 +102,38 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Proprietary", ("Copyright", "AllRights")),
     ("Proprietary", ("AllRights",)),
 )
-#: Every known sentence has one of these; others aren't normalised.
+#: Every known sentence has one of these; other sentences aren't normalised. Those with one of ``SPEAKING`` are about a
+#: licence even if they aren't known.
 MARKS = ("licen", "copyright", "permission", "warrant", "redistribut", "rights reserved", "distributed", "compliance", "gpl", "provided as is", 'provided "as is')
-CUT = r"[\r\n]+|[.!?;:]+[ \t]+"
-EDGE = r"^[^a-z0-9]+|[^a-z0-9+]+$"
+SPEAKING = ("licen", "copyright", "rights reserved", "warrant")
+#: (pattern, replacement) over a whole text: comment marks at the start of a line, and the dot of "v. 2".
+LINES = ((r"\r\n?", "\n"), (r"\n[ \t]*([#*;%>]+|//+|--+)?[ \t]*", "\n"), (r"\bv\. ?([0-9])", "v {1}"))
+CUT = r"\n\n+|[.!?]+[ \t\n]+"
 INNER = r"[^a-z0-9.+/-]+"
-HOLDER = r"^copyright( c)?( [0-9]{4}([-, ]+[0-9]{4})*)?( .*)?$"
+EDGE = r"^[^a-z0-9]+|[^a-z0-9+]+$"
+#: Copyright lines: at the start of a sentence, or with a year. Applied to what known sentences have left.
+HOLDER = r"^ copyright( c)? | copyright( c)? (?:[0-9]{4})"
+#: Longer sentences first, so that none hides in another.
+BY_LENGTH = sorted(SENTENCES, key=lambda x: (-len(x[1]), x))
+
+
+def _marked(s: Column, marks: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(s, F.lit(m)) for m in marks))
+
+
+def _sentences(text: Column) -> Column:
+    """The sentences with a mark, normalised and with a blank at each end, known ones as ``{identifier}``."""
+    low = F.lower(text)
+    joined = reduce(lambda t, line: F.regexp_replace(t, line[0], line[1].replace("{1}", "$1")), LINES, low)
 
+    def clean(s: Column) -> Column:
+        s = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(s, INNER, " "), EDGE, ""), F.lit(" "))
+        for name, sentence in BY_LENGTH:
+            s = F.replace(s, F.lit(f" {sentence} "), F.lit(f" {{{name}}} "))
+        return F.regexp_replace(s, HOLDER, " {Copyright} ")
 
-def sentence_ids(text: Column) -> Column:
-    """The identifiers of a text's known sentences, in order."""
-    known = F.create_map(*(F.lit(x) for name, sentence in SENTENCES for x in (sentence, name)))
-    marked = lambda s: reduce(lambda a, b: a | b, (F.contains(s, F.lit(m)) for m in MARKS))
-    clean = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, INNER, " "), EDGE, ""), HOLDER, "copyright")
-    split = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), CUT), marked)
-    return F.filter(F.transform(split, lambda s: F.try_element_at(known, clean(s))), lambda x: x.isNotNull())
+    marked = F.filter(F.split(joined, CUT), lambda s: _marked(s, MARKS))
+    return F.when(F.coalesce(_marked(low, MARKS), F.lit(False)), F.transform(marked, clean)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def apply_rules(ids: Column) -> Column:
@@ -118,17 +145,21 @@ def apply_rules(ids: Column) -> Column:
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_sentences (known ones), sentence_ids, licenses (distinct, sorted), unmatched.
+    """One row per input row: doc_id, n_sentences (known ones), n_unknown (sentences that speak of licences but hold no
+    known one), sentence_ids, licenses (distinct, sorted), unmatched.
 
     The last three are comma-separated strings, empty where there is nothing; null and empty texts have none. Rows are
     judged alone, so repeated rows and ids give repeated results. An empty table gives an empty result. Other columns
     are neither read nor returned.
     """
-    rows = docs.select(docs[id_col].alias("doc_id"), sentence_ids(docs[text_col]).alias("ids"))
-    rows = rows.withColumn("parsed", apply_rules(F.col("ids")))
+    rows = docs.select(docs[id_col].alias("doc_id"), _sentences(docs[text_col]).alias("found"))
+    every = F.flatten(F.transform("found", lambda s: F.regexp_extract_all(s, F.lit(r"\{([^}]*)\}"), 1)))
+    unknown = F.filter("found", lambda s: ~F.contains(s, F.lit("{")) & _marked(s, SPEAKING))
+    rows = rows.select("doc_id", F.size(unknown).cast("long").alias("n_unknown"), every.alias("ids")).withColumn("parsed", apply_rules(F.col("ids")))
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_sentences"),
+        "n_unknown",
         F.concat_ws(",", "ids").alias("sentence_ids"),
         F.concat_ws(",", F.array_sort(F.array_distinct(F.regexp_extract_all("parsed", F.lit("<([^>]*)>"), 1)))).alias("licenses"),
         F.concat_ws(",", F.regexp_extract_all("parsed", F.lit(r"\{([^}]*)\}"), 1)).alias("unmatched"),
@@ -137,18 +168,23 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 def oracle() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    pick = "CASE c " + " ".join(f"WHEN {quote(s)} THEN {quote(i)}" for i, s in SENTENCES) + " END"
     parsed = "coalesce(list_aggregate(list_transform(ids, lambda x: '{' || x || '}'), 'string_agg', ''), '')"
     for name, sequence in RULES:
         parsed = f"replace({parsed}, {quote(''.join(f'{{{i}}}' for i in sequence))}, {quote(f'<{name}>')})"
-    marks = " OR ".join(f"contains(s, {quote(m)})" for m in MARKS)
-    clean = f"regexp_replace(regexp_replace(regexp_replace(s, {quote(INNER)}, ' ', 'g'), {quote(EDGE)}, '', 'g'), {quote(HOLDER)}, 'copyright', 'g')"
+    marks = lambda own: " OR ".join(f"contains(s, {quote(m)})" for m in own)
+    joined = "lower(text)"
+    for pattern, to in LINES:
+        joined = f"regexp_replace({joined}, {quote(pattern)}, {quote(to.replace('{1}', chr(92) + '1'))}, 'g')"
+    clean = f"' ' || regexp_replace(regexp_replace(s, {quote(INNER)}, ' ', 'g'), {quote(EDGE)}, '', 'g') || ' '"
+    for name, sentence in BY_LENGTH:
+        clean = f"replace({clean}, {quote(f' {sentence} ')}, {quote(f' {{{name}}} ')})"
+    clean = f"regexp_replace({clean}, {quote(HOLDER)}, ' {{Copyright}} ', 'g')"
     return f"""
-WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), {quote(CUT)}), lambda s: {marks}) AS parts FROM documents),
-n AS (SELECT doc_id, list_transform(parts, lambda s: {clean}) AS cleaned FROM p),
-i AS (SELECT doc_id, list_filter(list_transform(cleaned, lambda c: {pick}), lambda x: x IS NOT NULL) AS ids FROM n),
-r AS (SELECT doc_id, ids, {parsed} AS parsed FROM i)
-SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(list_aggregate(ids, 'string_agg', ','), '') AS sentence_ids,
+WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array({joined}, {quote(CUT)}), lambda s: {marks(MARKS)}) AS parts FROM documents),
+f AS (SELECT doc_id, coalesce(list_transform(parts, lambda s: {clean}), []) AS found FROM p),
+i AS (SELECT doc_id, len(list_filter(found, lambda s: NOT contains(s, '{{') AND ({marks(SPEAKING)}))) AS unknown, flatten(list_transform(found, lambda s: regexp_extract_all(s, '\\{{([^}}]*)\\}}', 1))) AS ids FROM f),
+r AS (SELECT doc_id, unknown, ids, {parsed} AS parsed FROM i)
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, CAST(unknown AS BIGINT) AS n_unknown, coalesce(list_aggregate(ids, 'string_agg', ','), '') AS sentence_ids,
   coalesce(list_aggregate(list_sort(list_distinct(regexp_extract_all(parsed, '<([^>]*)>', 1))), 'string_agg', ','), '') AS licenses,
   coalesce(list_aggregate(regexp_extract_all(parsed, '\\{{([^}}]*)\\}}', 1), 'string_agg', ','), '') AS unmatched
 FROM r"""

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Phases
+
 CAP, WEIGHTS = 3, (1, 2, 3)
 #: About as many documents of a source to a key range.
 RANGE_ROWS = 2000
@@ -36,7 +38,7 @@ def uniform_of(id_col: str) -> F.Column:
 
 
 def targets(sizes: DataFrame, *, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): one row a source."""
+    """(source, source_size, target) from (source, source_size): one row a source, all sources in one task."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
     named = sizes.withColumn("weight", weight).withColumn("most", (F.lit(cap) * F.col("source_size")).cast("double"))
@@ -64,12 +66,15 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, *, id_col: str = "doc
         rows = rows.join(best, "doc_id", "left").withColumn("w", F.when(F.col("quality") == 1, GOOD).when(F.col("quality") == 0, POOR).otherwise(1.0)).drop("quality")
     else:
         rows = rows.withColumn("w", F.lit(1.0))
-    rows = rows.withColumn("key", -F.log(uniform_of("doc_id")) / F.col("w"))
+    phases = Phases(docs.sparkSession, "mixing")
+    # words are counted once; from here on only ids, sources, sizes and keys are read
+    rows = phases.write(rows.select("doc_id", "source", "size", (-F.log(uniform_of("doc_id")) / F.col("w")).alias("key")))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goal = targets(sums.select("source", "source_size"), cap=cap, weights=weights)
     plan = goal.join(sums.select(F.col("source").alias("s_"), "n"), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("left_", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")).withColumnRenamed("source", "p_source")
+    plan = phases.write(plan)
     # 1 - exp(-key) rises with the key and is about even, so its ranges are
     ranged = rows.join(F.broadcast(plan) if _few(plan) else plan, F.col("source").eqNullSafe(F.col("p_source")))
     ranged = ranged.withColumn("range_", F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("n") / RANGE_ROWS)).cast("long"))
@@ -89,9 +94,13 @@ def _few(plan: DataFrame, most: int = 100_000) -> bool:
 
 
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` rows that the mix takes, with ``taken``; what it leaves out is dropped."""
-    chosen = mix(docs, quality, id_col=id_col, text_col=text_col, source_col=source_col).filter("taken > 0").groupBy("doc_id").agg(F.max("taken").alias("taken"))
-    return docs.join(chosen.withColumnRenamed("doc_id", "c_id"), F.col(id_col).eqNullSafe(F.col("c_id"))).drop("c_id")
+    """``docs`` rows that the mix takes, with ``taken``; what it leaves out is dropped. A column of that name gives way."""
+    docs = docs.drop("taken")
+    own = "chosen_id"
+    while own in docs.columns:
+        own += "_"
+    chosen = mix(docs, quality, id_col=id_col, text_col=text_col, source_col=source_col).filter("taken > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max("taken").alias("taken"))
+    return docs.join(chosen, F.col(id_col).eqNullSafe(F.col(own))).drop(own)
 
 
 ORACLE = r"""

@@ -52,23 +52,56 @@ def test_licences(spark, docs, labels):
     assert got[13] == "MIT" and not any(v for k, v in got.items() if k != 13)
 
 
+HEADERS = {
+    "MIT": "MIT License\n\nCopyright (c) 2020 Jane Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "Apache-2.0": "Copyright 2019 The Authors\n\nLicensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "AGPL-3.0-only": "Some tool. It is licensed under the GNU Affero General Public License, version 3.",
+}
+
+
+def test_licence_headers_wrapped_and_commented(spark):
+    import textwrap
+
+    cases = [("MIT", "SPDX-License-Identifier: MIT\n"), ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"), ("MIT", "This file is licensed under the MIT License."), ("MIT", "some words\nLicensed under the MIT License.\nmore words"), ("", "A licence of my own making."), ("", "Nothing of note.")]
+    for name, text in HEADERS.items():
+        wrapped = "\n".join("\n".join(textwrap.wrap(p, 75)) for p in text.split("\n"))
+        cases += [(name, text), (name, wrapped), (name, "\n".join(f" * {x}".rstrip() for x in wrapped.split("\n"))), (name, "\r\n".join(f"# {x}" for x in wrapped.split("\n")))]
+    got = license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in got] == [name for name, _ in cases]
+    assert [r["n_unknown"] for r in got[:6]] == [0, 0, 0, 0, 1, 0]
+
+
 def test_suffix_dedup_is_brute_force(spark, docs, labels):
+    rows = [(i, t) for i, t, _ in ROWS]
+    assert brute_suffixes(rows) == suffixes(run(spark, docs, labels, "op2"))
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    assert brute_suffixes([tuple(r) for r in table.collect()]) == suffixes(suffix_dedup.remove_repeats(table.repartition(3)))
+
+
+def suffixes(df):
+    return sorted((tuple(r) for r in df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
+
+
+def brute_suffixes(rows):
     first: dict[bytes, int] = {}
-    texts = [(i if i is not None else 1 << 62, (t or "").encode()) for i, t, _ in ROWS]
+    texts = [(i if i is not None else 1 << 62, (t or "").encode()) for i, t in rows]
     for i, raw in texts:
         for p in range(len(raw) - 49):
             w = raw[p : p + 50]
             first[w] = min(first.get(w, 1 << 63), i)
     want = []
-    for (i, raw), (doc_id, *_) in zip(texts, ROWS):
+    for (i, raw), (doc_id, _) in zip(texts, rows):
         gone = bytearray(len(raw))
         for p in range(len(raw) - 49):
             if first[raw[p : p + 50]] < i:
                 gone[p : p + 50] = b"\x01" * 50
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         want.append((doc_id, len(raw), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
-    got = [tuple(r) for r in run(spark, docs, labels, "op2").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    return sorted(want, key=str)
 
 
 def test_loser_tree_merges_with_prefix_lengths():
@@ -134,6 +167,30 @@ def test_toxicity_tells_held_out_rows_apart(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got.collect())
 
 
+def edits(a, b):
+    """Edit distance with swapped neighbours, by its definition."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, rows[-1][j] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def test_automaton_is_brute_force():
+    import random
+
+    draw = random.Random(6)
+    words = ["".join(draw.choices("abc", k=draw.randint(0, 6))) for _ in range(300)]
+    terms = sorted({w for w in words[:80] if w})
+    trie = toxicity.Trie(terms)
+    for w in words:
+        assert dict(trie.within_one(w)) == {t: edits(w, t) for t in terms if edits(w, t) <= 1}, w
+
+
 def test_automaton_equals_edit_distance():
     trie = toxicity.Trie(["idiot", "moron"])
     assert dict(trie.within_one("idoit")) == {"idiot": 1} and dict(trie.within_one("mron")) == {"moron": 1} and dict(trie.within_one("moron")) == {"moron": 0} and not trie.within_one("morning")
@@ -312,3 +369,41 @@ def test_learned_words_are_matched_fuzzily_and_judged():
     kinds = lambda text: {k for k, x in zip(toxicity.KINDS, toxicity.Reader(lexicon).features(text)[1:], strict=False) if x}
     assert kinds("quelle ordure ici") == {"learned"} and kinds("tu es une ordure") == {"aimed"}
     assert kinds('il a dit "ordure" hier') == {"quoted"} and kinds("du bist abschuam") == {"misspelled"} and kinds("stupid idea") == {"plain"}
+
+
+def test_wide_groups_are_brute_force(spark, monkeypatch):
+    """A large cluster of variants, with sets beside it that only some of its members are near to."""
+    import random
+
+    draw = random.Random(10)
+    base = [f"t{i}" for i in range(60)]
+    texts = {}
+    for i in range(160):
+        words = list(base)
+        for _ in range(draw.choice((0, 1, 2, 4, 6, 8))):
+            words[draw.randrange(60)] = f"x{draw.randrange(40)}"
+        texts[i] = " ".join(words)
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 16)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, k=3, percent=85).collect()}
+    assert got == brute_components(texts, 3, 85)
+    assert 1 < len({c for _, c in got.values()}) < 160
+
+
+def test_short_texts_have_true_likeness(spark):
+    """Sets of few shingles are compared exactly; larger ones come near to the true Jaccard similarity."""
+    shingles = lambda t, k=5: {tuple(w[j : j + k]) for w in [t.encode().lower().split()] for j in range(max(len(w) - k + 1, 1))}
+    jaccard = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    mark = lambda t: fingerprint.fingerprints_of([t], fingerprint.WORDS, fingerprint.SCALE)[0]
+    for a, b in [("one two three four five six", "one two three four five seven"), ("a b", "a c"), (" ".join(map(str, range(60))), " ".join(map(str, range(20, 80))))]:
+        assert abs(fingerprint.likeness(mark(a), mark(b)) - jaccard(a, b)) < 1e-12
+        union = fingerprint.decode(fingerprint.merge(mark(a), mark(b)))
+        assert union[1] == len(shingles(a) | shingles(b)) or union[0] > 1
+    short, long_ = " ".join(map(str, range(50))), " ".join(map(str, range(4000)))
+    assert abs(fingerprint.decode(fingerprint.merge(mark(short), mark(long_)))[1] - 3996) < 400
+    assert fingerprint.containment(mark(short), mark(long_)) > 0.99
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    got = {r["doc_id"]: r["near_next"] for r in queries.QUERIES["op3_fingerprints"](spark, SF).collect()}
+    for (i, a), (_, b) in zip(rows, rows[1:] + rows[:1]):
+        if a.split() and b.split():
+            assert abs(got[i] - jaccard(a, b)) < 0.25, i
