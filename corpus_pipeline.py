@@ -58,6 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _, stage in STAGES:
         made = phases.write(stage(spark, docs, sf_dir))
         phases.drop(docs)
+        Phases.release(phases)
         phases.settle()
         docs = made
     return docs
