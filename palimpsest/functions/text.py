@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Dropped from every tokenised text (English, Russian, Kazakh and shared short words).
-STOPWORDS = tuple(sorted("a an and in of or the to de в да для до за и мен на о об от по с со та те у және үшін".split() + ["де"]))
+#: Dropped from every tokenised text (English, Russian, Kazakh).
+STOPWORDS = ("a", "an", "and", "the", "or", "of", "to", "in", "и", "в", "на", "для", "мен", "және", "с", "со", "за", "от", "до", "по", "о", "об", "у", "да", "де", "та", "те", "үшін")
 SPLIT = r"[^\p{L}\p{N}]+"
 
-#: Characters to a token: ASCII letters and digits, other letters, punctuation, line breaks.
+#: Characters to a token: ASCII letters and digits, other letters, punctuation, line breaks.
 TOKEN_PROFILES = {"default": (4, 2, 4, 2), "gpt-4o": (4, 2, 4, 2), "deepseek": (4, 2, 3, 2), "gemma": (4, 2, 3, 2), "bge-m3": (3, 1, 3, 2)}
 
 

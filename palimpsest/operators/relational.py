@@ -61,14 +61,17 @@ def memory_decay(created: Column, ttl: Column, now: int) -> Column:
     return F.when(ttl.isNull() | (ttl == 0), fixed.ONE).otherwise(fixed.div(left * fixed.ONE + fixed.div(ttl, 2), ttl)).cast("long")
 
 
-def numeric_conflicts(claims: DataFrame) -> DataFrame:
+def numeric_conflicts(claims: DataFrame, *, days: int = 128) -> DataFrame:
     """Pairs of claims (id, subject, metric, value, valid_from, valid_to) that overlap in time and differ in value.
 
-    A subject's claims meet by key and time bucket, not all with all."""
-    a = claims.select("subject", "metric", *(F.col(c).alias(f"{c}_a") for c in ("id", "value", "valid_from", "valid_to")))
-    b = claims.select("subject", "metric", *(F.col(c).alias(f"{c}_b") for c in ("id", "value", "valid_from", "valid_to")))
+    Claims meet by subject, metric and time bucket, in the bucket where the later of the two begins, so that a long
+    history of one key is spread over its time and every pair is found once."""
+    number = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days)
+    a = claims.select("subject", "metric", *(F.col(c).alias(f"{c}_a") for c in ("id", "value", "valid_from", "valid_to")), F.explode(F.sequence(number(F.col("valid_from")), number(F.col("valid_to")))).alias("bucket"))
+    b = claims.select("subject", "metric", *(F.col(c).alias(f"{c}_b") for c in ("id", "value", "valid_from", "valid_to")), F.explode(F.sequence(number(F.col("valid_from")), number(F.col("valid_to")))).alias("bucket"))
     overlap = (F.col("valid_from_a") <= F.col("valid_to_b")) & (F.col("valid_from_b") <= F.col("valid_to_a"))
-    return a.join(b, ["subject", "metric"]).filter((F.col("id_a") < F.col("id_b")) & (F.col("value_a") != F.col("value_b")) & overlap)
+    once = F.col("bucket") == number(F.greatest("valid_from_a", "valid_from_b"))
+    return a.join(b, ["subject", "metric", "bucket"]).filter((F.col("id_a") < F.col("id_b")) & (F.col("value_a") != F.col("value_b")) & overlap & once).drop("bucket")
 
 
 def khop(edges: DataFrame, start: list[str], hops: int) -> DataFrame:
@@ -82,16 +85,24 @@ def khop(edges: DataFrame, start: list[str], hops: int) -> DataFrame:
     return seen.withColumn("proximity_q16", fixed.div(F.lit(fixed.ONE), F.col("depth") + 1).cast("long"))
 
 
-def synonym_pairs(terms: DataFrame, least_df: int, least_pairs: int, top: int) -> DataFrame:
-    """(term, synonym, association_q16) from distinct (doc, term) rows, whose terms a document are bounded before."""
-    df = terms.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least_df)
-    often = terms.join(df, "term")
-    a = often.select("doc_id", F.col("term").alias("term"), F.col("df").alias("df_a"))
-    b = often.select("doc_id", F.col("term").alias("synonym"), F.col("df").alias("df_b"))
-    pairs = a.join(b, "doc_id").filter("term <> synonym").groupBy("term", "synonym").agg(F.count("*").alias("co"), F.first("df_a").alias("df_a"), F.first("df_b").alias("df_b")).filter(F.col("co") >= least_pairs)
-    scored = pairs.withColumn("association_q16", fixed.div(F.col("co") * fixed.ONE, F.least("df_a", "df_b")).cast("long"))
+def synonym_pairs(docs: DataFrame, *, first: int = 64, least_df: int = 3, least_pairs: int = 2, top: int = 8, most: int = 10_000) -> DataFrame:
+    """(term, synonym, association_q16, rn) from (doc_id, terms): ``first`` distinct terms of a document count, the
+    ``most`` entries of the most frequent terms are kept with the ``top`` synonyms of each.
+
+    Pairs are made within a document's bounded list and summed map-side, so no key carries more than the others."""
+    lists = docs.select("doc_id", F.slice(F.array_distinct("terms"), 1, first).alias("terms"))
+    each = lists.select("doc_id", F.explode("terms").alias("term"))
+    df = each.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least_df)
+    often = each.join(df.select("term"), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    left = often.select(F.posexplode("terms").alias("i", "a"), "terms")
+    both = left.select("a", F.explode(F.slice("terms", F.col("i") + 2, first)).alias("b")).groupBy("a", "b").agg(F.count("*").alias("co")).filter(F.col("co") >= least_pairs)
+    pairs = both.select(F.col("a").alias("term"), F.col("b").alias("synonym"), "co").unionByName(both.select(F.col("b").alias("term"), F.col("a").alias("synonym"), "co"))
+    sized = pairs.join(df.withColumnRenamed("df", "df_a"), "term").join(df.select(F.col("term").alias("synonym"), F.col("df").alias("df_b")), "synonym")
+    scored = sized.withColumn("association_q16", fixed.div(F.col("co") * fixed.ONE, F.least("df_a", "df_b")).cast("long"))
     rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("association_q16"), F.desc("co"), "synonym"))
-    return scored.withColumn("rn", rank).filter(F.col("rn") <= top).select("term", "synonym", "association_q16", F.col("rn").cast("long").alias("rn"))
+    kept = scored.withColumn("rn", rank).filter(F.col("rn") <= top)
+    entries = kept.filter("rn = 1").orderBy(F.desc("df_a"), "term").limit(most).select("term")
+    return kept.join(entries, "term").select("term", "synonym", "association_q16", F.col("rn").cast("long").alias("rn"))
 
 
 def ranking_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
-from palimpsest.functions.text import SPLIT, STOPWORDS, estimate_tokens, python_tokens, tokens
+from palimpsest.functions.text import estimate_tokens, python_tokens, tokens
 from palimpsest.operators import packs, relational, retrieval
 from palimpsest.plans.aql import AgentView, bind, parse
 from palimpsest.sources.cells import CORPUS_SQL, EPOCH, corpus, json_leaves, table
@@ -22,8 +22,9 @@ TERMS = python_tokens(TASK)
 VIEW = AgentView(frozenset({"lang:en", "lang:de", "lang:fr"}))
 EVENT_NOW = 1_706_700_000
 
-_STOP = ", ".join("'" + w + "'" for w in STOPWORDS)
-_TOKENS = rf"list_filter(regexp_split_to_array(lower(coalesce(body_text, '')), '{SPLIT}'), lambda x: x <> '' AND x NOT IN ({_STOP}))"
+# the SQL's own constants, so that a wrong value on one side shows
+_STOP = "'a', 'an', 'and', 'the', 'or', 'of', 'to', 'in', 'и', 'в', 'на', 'для', 'мен', 'және', 'с', 'со', 'за', 'от', 'до', 'по', 'о', 'об', 'у', 'да', 'де', 'та', 'те', 'үшін'"
+_TOKENS = rf"list_filter(regexp_split_to_array(lower(coalesce(body_text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ({_STOP}))"
 
 
 def query(name: str, sql: str | None = None):
@@ -49,7 +50,7 @@ scored AS (SELECT counted.*, CAST(round(({part}) * 1000000) AS BIGINT) AS lexica
 
 def _blend_sql(mode: str, source: str) -> str:
     """CTE blended: ``source`` with score."""
-    a, b, c, d = retrieval.mode_weights(mode)
+    a, b, c, d = {"fast": (36044, 6553, 16383, 6555), "balanced": (19660, 22937, 13107, 9831), "hybrid": (22937, 22937, 9830, 9831), "semantic": (9830, 36044, 9830, 9831), "audit": (13107, 13107, 13107, 26214)}[mode]
     scale = lambda x: f"CASE WHEN max({x}) OVER () = min({x}) OVER () THEN 65535 ELSE ({x} - min({x}) OVER ()) * 65535 // (max({x}) OVER () - min({x}) OVER ()) END"
     return f"blended AS (SELECT *, CAST((({scale('lexical')}) * {a} + ({scale('semantic')}) * {b} + ({scale('created_unix_seconds')}) * {c} + ({scale('CAST(source_trust_q16 AS BIGINT)')}) * {d}) // 65535 AS BIGINT) AS score FROM {source})"
 
@@ -107,7 +108,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
     df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell_id"), retrieval.quantised(F.col("embedding")).alias("vector"))
-    return df, list(df.filter("cell_id = 0").first()["vector"])
+    row = df.filter("cell_id = 0").first()
+    return df, list(row["vector"]) if row else []
 
 
 _VEC = "v AS (SELECT vec_id AS cell_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS vec FROM embeddings), q AS (SELECT vec AS qv FROM v WHERE cell_id = 0), p AS (SELECT cell_id, list_sum(list_transform(list_zip(vec, qv), lambda z: z[1] * z[2])) AS d, list_sum(list_transform(vec, lambda z: z * z)) AS n, list_sum(list_transform(qv, lambda z: z * z)) AS m FROM v, q)"
@@ -186,14 +188,15 @@ def answerability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("ratio_q16", ratio.cast("long")).withColumn("sufficient", F.col("ratio_q16") >= 45000)
 
 
-@query("synonym_pairs", f"""WITH t AS (SELECT doc_id, unnest(list_distinct(list_slice({_TOKENS.replace('body_text', 'text')}, 1, 24))) AS term FROM (SELECT item_id AS doc_id, text FROM benchmark UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text FROM conversations)),
+@query("synonym_pairs", f"""WITH a AS (SELECT doc_id, {_TOKENS.replace('body_text', 'text')} AS toks FROM documents), u AS (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM a),
+f AS (SELECT doc_id, term, min(pos) AS pos FROM u GROUP BY 1, 2), t AS (SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM f) WHERE rn <= 64),
 d AS (SELECT term, count(*) AS df FROM t GROUP BY 1 HAVING count(*) >= 3), o AS (SELECT * FROM t JOIN d USING (term)),
 c AS (SELECT a.term, b.term AS synonym, count(*) AS co, min(a.df) AS x, min(b.df) AS y FROM o a JOIN o b USING (doc_id) WHERE a.term <> b.term GROUP BY 1, 2 HAVING count(*) >= 2),
-s AS (SELECT term, synonym, co, CAST(co * 65535 // least(x, y) AS BIGINT) AS association_q16 FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY association_q16 DESC, co DESC, synonym) AS rn FROM s) SELECT term, synonym, association_q16, rn FROM r WHERE rn <= 8""")
+s AS (SELECT term, synonym, x, co, CAST(co * 65535 // least(x, y) AS BIGINT) AS association_q16 FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY association_q16 DESC, co DESC, synonym) AS rn FROM s),
+k AS (SELECT term FROM (SELECT DISTINCT term, x FROM s) ORDER BY x DESC, term LIMIT 10000) SELECT term, synonym, association_q16, rn FROM r JOIN k USING (term) WHERE rn <= 8""")
 def synonym_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text").unionByName(table(spark, sf_dir, "conversations").select((F.lit(1_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
-    return relational.synonym_pairs(texts.select("doc_id", F.explode(F.array_distinct(F.slice(tokens(F.col("text")), 1, 24))).alias("term")), 3, 2, 8)
+    return relational.synonym_pairs(table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("terms")))
 
 
 @query("coverage_report", "WITH j AS (SELECT doc_id, vec_id, len(embedding) AS dim FROM documents FULL JOIN embeddings ON doc_id = vec_id) SELECT count(doc_id) AS total, count(*) FILTER (doc_id IS NOT NULL AND dim = 64) AS embedded, count(*) FILTER (doc_id IS NOT NULL AND vec_id IS NULL) AS missing, count(*) FILTER (doc_id IS NULL) AS unexpected, count(*) FILTER (dim <> 64) AS wrong_dimension, CAST(count(*) FILTER (doc_id IS NOT NULL AND dim = 64) * 10000 // count(doc_id) AS BIGINT) AS coverage_bps FROM j")
@@ -344,7 +347,7 @@ def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("json_flatten", "SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events")
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_leaves(table(spark, sf_dir, "events"), "event_id", "props", depth=2)
+    return json_leaves(table(spark, sf_dir, "events"), "event_id", "props")
 
 
 @query("verify_fact_status", f"WITH {_CLAIMS}, f AS (SELECT subject, metric, min_by(value, id) AS fact FROM c GROUP BY 1, 2), j AS (SELECT subject, metric, count(*) FILTER (value = fact) AS supporting, count(*) FILTER (value <> fact) AS contradicting FROM c JOIN f USING (subject, metric) GROUP BY 1, 2) SELECT subject, metric, supporting, contradicting, CASE WHEN supporting > 0 AND contradicting > 0 THEN 'mixed_evidence' WHEN supporting > 0 THEN 'supported' ELSE 'contradicted' END AS status FROM j")
@@ -368,9 +371,10 @@ def rarest_terms_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("interval_stabbing", f"WITH {_CLAIMS} SELECT subject, count(*) AS n_valid, min(id) AS first_id FROM c WHERE valid_from <= DATE '1997-03-01' AND DATE '1997-03-01' <= valid_to GROUP BY 1")
 def interval_stabbing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims valid at a date, by subject; pushed down to the scan as a range of the start."""
-    day = F.lit("1997-03-01").cast("date")
-    valid = _claims(spark, sf_dir).filter((F.col("valid_from") <= day) & (day <= F.col("valid_to")))
+    """Claims valid at a date, by subject; a range of the raw timestamp, which reaches the scan."""
+    day, kind = F.lit("1997-03-01").cast("date"), table(spark, sf_dir, "lineitem").schema["l_shipdate"].dataType
+    rows = table(spark, sf_dir, "lineitem").filter((F.col("l_shipdate") < F.date_add(day, 1).cast(kind)) & (F.col("l_shipdate") >= F.date_sub(day, 90).cast(kind)))
+    valid = rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("subject"))
     return valid.groupBy("subject").agg(F.count("*").alias("n_valid"), F.min("id").alias("first_id"))
 
 

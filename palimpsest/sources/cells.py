@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,21 +117,39 @@ def read_csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.select(F.col("_metadata.file_name").alias("document_id"), text.alias("text"), "*")
 
 
-def json_leaves(spark_df: DataFrame, id_col: str, json_col: str, depth: int = 6) -> DataFrame:
-    """(id, path, value) of every leaf, arrays by index, to a nesting of ``depth``; deeper values stay JSON."""
-    level = spark_df.select(id_col, F.lit("").alias("path"), F.col(json_col).alias("value"))
-    done = None
-    for _ in range(depth):
-        as_map = F.from_json("value", "map<string,string>")
-        as_list = F.from_json("value", "array<string>")
-        kind = F.substring(F.ltrim("value"), 1, 1)
-        entries = F.when(kind == "{", F.map_entries(as_map)).when(kind == "[", F.transform(as_list, lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))))
-        marked = level.withColumn("entries", entries)
-        leaves = marked.filter("entries is null").drop("entries")
-        done = leaves if done is None else done.unionByName(leaves)
-        joined = F.when(F.col("path") == "", F.col("e.key")).otherwise(F.concat_ws(".", "path", "e.key"))
-        level = marked.filter("entries is not null").withColumn("e", F.explode("entries")).select(id_col, joined.alias("path"), F.col("e.value").alias("value"))
-    return done.unionByName(level)
+def json_leaves(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(id, path, value) of every leaf at any depth: dotted paths, arrays by index, numbers and booleans as text.
+
+    The one scan of the input ends in a generator of paths; nothing is parsed again for a deeper level."""
+    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, path string, value string"
+
+    def walk(value, path: str):
+        if isinstance(value, dict) and value:
+            for k, v in value.items():
+                yield from walk(v, f"{path}.{k}" if path else k)
+        elif isinstance(value, list) and value:
+            for i, v in enumerate(value):
+                yield from walk(v, f"{path}.{i}" if path else str(i))
+        else:
+            yield path, value if isinstance(value, str) else json.dumps(value)
+
+    def run(batches):
+        for batch in batches:
+            ids, paths, values = [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text is None:
+                    continue
+                try:
+                    parsed = json.loads(text)
+                except ValueError:
+                    parsed = text  # what isn't JSON is a leaf of its own
+                for path, value in walk(parsed, ""):
+                    ids.append(i)
+                    paths.append(path)
+                    values.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(paths, pa.string()), pa.array(values, pa.string())], names=[id_col, "path", "value"])
+
+    return df.select(id_col, json_col).mapInArrow(run, schema)
 
 
 def write_checkpoint(cells: DataFrame, path: str) -> None:
