@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
 from palimpsest.functions.text import tokens
+from palimpsest.operators.relational import memory_decay
 from palimpsest.plans.aql import FIELDS, AgentView, Both, Bound, Comparison, Not
 
 #: Lexical, semantic, recency and trust shares of each mode, in hundredths; the last takes the rounding.
@@ -43,17 +44,38 @@ def readable(cells: DataFrame, view: AgentView) -> DataFrame:
     return cells.filter(F.col("scope").isin(*sorted(view.readable_scopes)))
 
 
+_held: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """``df`` kept on the executors; the last few of a session are, older ones are computed again if they're asked for."""
+    df = df.persist()
+    _held.append(df)
+    while len(_held) > 4:
+        _held.pop(0).unpersist()
+    return df
+
+
+def counts(cells: DataFrame, terms: list[str], text: str = "body_text") -> DataFrame:
+    """``cells`` without the text, with its number of words as ``len_`` and that of each term as ``tf{i}_``: the one pass
+    over the texts that a search needs."""
+    split = cells.withColumn("toks_", tokens(F.col(text)))
+    tf = [(F.size("toks_") - F.size(F.array_remove("toks_", t))).alias(f"tf{i}_") for i, t in enumerate(terms)]
+    return hold(split.select(*(c for c in cells.columns if c != text), F.size("toks_").alias("len_"), *tf))
+
+
 def bm25(cells: DataFrame, terms: list[str], text: str = "body_text", *, rarest: int | None = None, scale: int = 1_000_000) -> DataFrame:
-    """``cells`` with ``lexical``: BM25 over the given rows' own statistics, in millionths.
+    """``cells`` without the text, with ``lexical``: BM25 over the given rows' own statistics, in millionths.
 
     ``rarest``: score only so many terms, by ascending document frequency, longer ones and then alphabetical first.
     """
+    return scored(cells, terms, text, rarest=rarest, scale=scale)[0]
+
+
+def scored(cells: DataFrame, terms: list[str], text: str = "body_text", *, rarest: int | None = None, scale: int = 1_000_000) -> tuple[DataFrame, bool]:
+    """bm25, and whether any row has a score."""
     terms = list(dict.fromkeys(terms))
-    split = cells.withColumn("toks_", tokens(F.col(text)))
-    counted = split.withColumn("len_", F.size("toks_"))
-    for i, t in enumerate(terms):
-        counted = counted.withColumn(f"tf{i}_", F.size("toks_") - F.size(F.array_remove("toks_", t)))
-    counted = counted.drop("toks_")
+    counted = counts(cells, terms, text)
     row = counted.agg(F.count("*").alias("n"), F.avg(F.greatest("len_", F.lit(1))).alias("avg"), *(F.count(F.when(F.col(f"tf{i}_") > 0, 1)).alias(f"df{i}") for i in range(len(terms)))).first()
     used = [i for i in range(len(terms)) if row[f"df{i}"]]
     if rarest is not None:
@@ -61,7 +83,31 @@ def bm25(cells: DataFrame, terms: list[str], text: str = "body_text", *, rarest:
     length = F.greatest(F.col("len_"), F.lit(1)) / F.lit(float(row["avg"] or 1))
     part = lambda i: F.lit(fixed.idf_float(row["n"], row[f"df{i}"])) * (F.col(f"tf{i}_") * F.lit(2.2)) / (F.col(f"tf{i}_") + F.lit(1.2) * (F.lit(0.25) + F.lit(0.75) * length))
     total = reduce(lambda a, b: a + b, (part(i) for i in used), F.lit(0.0))
-    return counted.withColumn("lexical", F.round(total * scale).cast("long")).drop("len_", *(f"tf{i}_" for i in range(len(terms))))
+    return counted.withColumn("lexical", F.round(total * scale).cast("long")).drop("len_", *(f"tf{i}_" for i in range(len(terms)))), bool(used)
+
+
+#: Weights of a cell's fields.
+FIELD_WEIGHTS = {"title": 8, "table": 6, "path": 5, "entity": 4, "chunk": 2, "other": 1}
+
+
+def bm25f(cells: DataFrame, fields: dict[str, str], terms: list[str], *, scale: int = 1_000_000) -> DataFrame:
+    """(cell_id, lexical): BM25 by field, each with its own lengths and average and its weight, one document frequency a
+    term over all fields. ``fields``: the kind of each column."""
+    terms = list(dict.fromkeys(terms))
+    split = cells.select("cell_id", *(tokens(F.col(c)).alias(f"{c}_t") for c in fields))
+    tf = [(F.size(f"{c}_t") - F.size(F.array_remove(f"{c}_t", t))).alias(f"{c}_tf{i}") for c in fields for i, t in enumerate(terms)]
+    counted = hold(split.select("cell_id", *(F.size(f"{c}_t").alias(f"{c}_len") for c in fields), *tf))
+    found = lambda i: reduce(lambda a, b: a | b, (F.col(f"{c}_tf{i}") > 0 for c in fields))
+    # averages run over the cells that have the field
+    row = counted.agg(F.count("*").alias("n"), *(F.avg(F.when(F.col(f"{c}_len") > 0, F.col(f"{c}_len"))).alias(f"{c}_avg") for c in fields), *(F.count(F.when(found(i), 1)).alias(f"df{i}") for i in range(len(terms)))).first()
+
+    def part(c: str, kind: str, i: int) -> Column:
+        n = F.col(f"{c}_tf{i}")
+        length = F.greatest(F.col(f"{c}_len"), F.lit(1)) / F.lit(float(max(row[f"{c}_avg"] or 1, 1)))
+        return F.lit(fixed.idf_float(row["n"], row[f"df{i}"]) * FIELD_WEIGHTS[kind]) * (n * F.lit(2.2)) / (n + F.lit(1.2) * (F.lit(0.25) + F.lit(0.75) * length))
+
+    total = reduce(lambda a, b: a + b, (part(c, kind, i) for c, kind in fields.items() for i in range(len(terms))), F.lit(0.0))
+    return counted.select("cell_id", F.round(total * scale).cast("long").alias("lexical"))
 
 
 def quantised(vector: Column) -> Column:
@@ -92,8 +138,9 @@ def ranged(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, int]]:
     return {c: (row[f"{c}_lo"] or 0, row[f"{c}_hi"] or 0) for c in columns}
 
 
-def blend(pool: DataFrame, mode: str, *, recency_window: int | None = None) -> DataFrame:
-    """``pool`` with ``score``: lexical, semantic, recency and trust by min-max, weighted by mode."""
+def blend(pool: DataFrame, mode: str, *, recency_window: int | None = None, now: int | None = None) -> DataFrame:
+    """``pool`` with ``score``: lexical, semantic, recency and trust by min-max, weighted by mode; times what is left of a
+    memory's time to live where ``now`` is given."""
     pool = pool.withColumn("semantic", F.coalesce("semantic", F.lit(0)).cast("long")).withColumn("trust", F.col("source_trust_q16").cast("long"))
     span = ranged(pool, ["lexical", "semantic", "trust", "created_unix_seconds"])
     scaled = {c: fixed.min_max(F.col(c), *(F.lit(x).cast("long") for x in span[c])) for c in ("lexical", "semantic", "trust")}
@@ -102,8 +149,10 @@ def blend(pool: DataFrame, mode: str, *, recency_window: int | None = None) -> D
     if recency_window is not None:
         recency = F.when(F.col("created_unix_seconds") >= high - recency_window, fixed.ONE).otherwise(recency)
     w = mode_weights(mode)
-    total = scaled["lexical"] * w[0] + scaled["semantic"] * w[1] + recency * w[2] + scaled["trust"] * w[3]
-    return pool.withColumn("score", fixed.div(total, fixed.ONE).cast("long"))
+    total = fixed.div(scaled["lexical"] * w[0] + scaled["semantic"] * w[1] + recency * w[2] + scaled["trust"] * w[3], fixed.ONE)
+    if now is not None and "ttl_seconds" in pool.columns:
+        total = fixed.div(total * memory_decay(F.col("created_unix_seconds"), F.col("ttl_seconds"), now), fixed.ONE)
+    return pool.withColumn("score", total.cast("long"))
 
 
 def two_stage(pool: DataFrame, weight: int) -> DataFrame:
@@ -135,13 +184,32 @@ def quality(confidence_q16: int, trust_q16: int, freshness: int | None, valid_at
     return out
 
 
-def retrieve(cells: DataFrame, bound: Bound, terms: list[str], now: int) -> DataFrame:
-    """Cells of a bound retrieval: scope and conditions, candidate-local BM25, the cheap-rank budget, quality
-    thresholds, blend, content de-duplication, limit."""
-    pool = readable(cells, bound.view).filter(where(bound.where))
-    ranked = bm25(pool, terms).withColumn("semantic", F.lit(0).cast("long"))
-    if bound.limit:
+def alive(now: int, columns: list[str]) -> Column:
+    """Whether a cell isn't a memory whose time to live is over."""
+    if "ttl_seconds" not in columns:
+        return F.lit(True)
+    over = (F.col("cell_type") == "memory") & (F.col("ttl_seconds") > 0) & (F.col("created_unix_seconds") + F.col("ttl_seconds") <= now)
+    return ~F.coalesce(over, F.lit(False))
+
+
+def retrieve(cells: DataFrame, bound: Bound, terms: list[str], now: int, *, dense: DataFrame | None = None) -> DataFrame:
+    """Cells of a bound retrieval, in this order: scope and conditions, validity and lifetime, candidate-local BM25 and the
+    cheap-rank budget (taken only where a term is found), quality thresholds, blend with memory decay, dense rerank,
+    supersession, content de-duplication, limit. Diversity and the pack take rows in turn: see ``packs``.
+
+    ``dense``: (cell_id, semantic) where the query has a vector."""
+    columns = cells.columns
+    pool = readable(cells, bound.view).filter(where(bound.where)).filter(quality(0, 0, None, bound.valid_at, now, columns)).filter(alive(now, columns))
+    ranked, any_score = scored(pool, terms)
+    if bound.limit and any_score:
         ranked = ranked.orderBy(F.desc("lexical"), "cell_id").limit(max(2 * bound.limit, bound.limit + 2))
-    ranked = ranked.filter(quality(bound.confidence_q16, bound.trust_q16, bound.freshness, bound.valid_at, now, cells.columns))
-    scored = dedup_content(blend(ranked, bound.mode, recency_window=bound.recency_window), [F.desc("score"), F.asc("cell_id")])
-    return scored.orderBy(F.desc("score"), "cell_id").limit(bound.limit)
+    ranked = ranked.filter(quality(bound.confidence_q16, bound.trust_q16, bound.freshness, None, now, columns))
+    ranked = ranked.join(dense, "cell_id", "left") if dense is not None else ranked.withColumn("semantic", F.lit(0).cast("long"))
+    out = blend(ranked, bound.mode, recency_window=bound.recency_window, now=now)
+    if bound.rerank_q16 and dense is not None:
+        out = out.withColumnRenamed("score", "first_score").join(two_stage(out, bound.rerank_q16), "cell_id").drop("first_score")
+    if bound.suppress_superseded and {"entity", "topic", "as_of"} <= set(columns):
+        newest = F.row_number().over(Window.partitionBy("entity", "topic").orderBy(F.col("as_of").desc_nulls_last(), F.desc("created_unix_seconds"), F.desc("cell_id")))
+        out = out.withColumn("rn_", F.when(F.col("entity").isNull() | F.col("topic").isNull(), 1).otherwise(newest)).filter("rn_ = 1").drop("rn_")
+    out = dedup_content(out, [F.desc("score"), F.asc("cell_id")])
+    return out.orderBy(F.desc("score"), "cell_id").limit(bound.limit)

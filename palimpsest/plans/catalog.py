@@ -350,15 +350,6 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_leaves(table(spark, sf_dir, "events"), "event_id", "props")
 
 
-@query("verify_fact_status", f"WITH {_CLAIMS}, f AS (SELECT subject, metric, min_by(value, id) AS fact FROM c GROUP BY 1, 2), j AS (SELECT subject, metric, count(*) FILTER (value = fact) AS supporting, count(*) FILTER (value <> fact) AS contradicting FROM c JOIN f USING (subject, metric) GROUP BY 1, 2) SELECT subject, metric, supporting, contradicting, CASE WHEN supporting > 0 AND contradicting > 0 THEN 'mixed_evidence' WHEN supporting > 0 THEN 'supported' ELSE 'contradicted' END AS status FROM j")
-def verify_fact_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first claim of each subject and metric as a fact, judged by all claims about it."""
-    claims = _claims(spark, sf_dir)
-    facts = claims.groupBy("subject", "metric").agg(F.min_by("value", "id").alias("fact"))
-    judged = claims.join(facts, ["subject", "metric"]).groupBy("subject", "metric").agg(F.count(F.when(F.col("value") == F.col("fact"), 1)).alias("supporting"), F.count(F.when(F.col("value") != F.col("fact"), 1)).alias("contradicting"))
-    return judged.withColumn("status", F.when((F.col("supporting") > 0) & (F.col("contradicting") > 0), "mixed_evidence").when(F.col("supporting") > 0, "supported").otherwise("contradicted"))
-
-
 @query("rarest_terms_topk", f"""WITH {_READABLE}, t AS (SELECT * FROM (VALUES {", ".join(f"('{t}', {i})" for i, t in enumerate(TERMS))}) v(term, i)),
 d AS (SELECT term, i, (SELECT [{", ".join(f"df{i}" for i in range(len(TERMS)))}] FROM stats)[i + 1] AS df FROM t),
 k AS (SELECT i FROM d WHERE df > 0 ORDER BY df, length(term) DESC, term LIMIT 2),
@@ -399,10 +390,13 @@ def embedding_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
 # order-dependent selections over the best 64 rows; tests hold them against plain Python
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 64 best; only their texts are fetched again, by id."""
     from pyspark.sql import Window
 
     top = _lexical(spark, sf_dir).orderBy(F.desc("lexical"), "cell_id").limit(64)
-    return top.select(F.lit("task").alias("pack"), "cell_id", "body_text", (F.row_number().over(Window.orderBy(F.desc("lexical"), "cell_id")) - 1).cast("long").alias("pos"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cell_id"), F.col("text").alias("body_text"))
+    placed = top.withColumn("pos", (F.row_number().over(Window.orderBy(F.desc("lexical"), "cell_id")) - 1).cast("long"))
+    return texts.join(F.broadcast(placed), "cell_id").withColumn("pack", F.lit("task"))  # 64 rows
 
 
 @query("pack_budget")
@@ -412,6 +406,12 @@ def pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mmr_diversify")
 def mmr_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, _ = _vectors(spark, sf_dir)
+    return packs.mmr_by_vectors(_ranked(spark, sf_dir).join(df, "cell_id", "left"), 30000)
+
+
+@query("search_mmr")
+def search_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.diversify(_ranked(spark, sf_dir), 30000, 20)
 
 

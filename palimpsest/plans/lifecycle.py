@@ -257,13 +257,13 @@ def ann_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(64).join(top(32), "cell_id").agg(F.count("*").alias("found"), fixed.div(F.count("*") * fixed.ONE, 50).cast("long").alias("recall_q16"))
 
 
-@query("freshness_categories", f"WITH {CORPUS_SQL}, a AS (SELECT cell_id, created_unix_seconds AS c, min(created_unix_seconds) OVER () AS lo, max(created_unix_seconds) OVER () AS hi FROM cells), q AS (SELECT cell_id, CAST(CASE WHEN hi = lo THEN 65535 ELSE (c - lo) * 65535 // (hi - lo) END AS BIGINT) AS freshness_q16 FROM a) SELECT cell_id, freshness_q16, CASE WHEN freshness_q16 >= 49152 THEN 'fresh' WHEN freshness_q16 >= 32768 THEN 'recent' WHEN freshness_q16 >= 16384 THEN 'aging' ELSE 'stale' END AS category, freshness_q16 // 2 AS bonus FROM q")
+@query("freshness_categories", f"WITH {CORPUS_SQL}, a AS (SELECT cell_id, created_unix_seconds AS c, min(created_unix_seconds) OVER () AS lo, max(created_unix_seconds) OVER () AS hi FROM cells), q AS (SELECT cell_id, CAST(CASE WHEN hi = lo THEN 65535 ELSE (c - lo) * 65535 // (hi - lo) END AS BIGINT) AS freshness_q16 FROM a) SELECT cell_id, freshness_q16, CASE WHEN freshness_q16 <= 16383 THEN 'stale' WHEN freshness_q16 <= 39321 THEN 'older' WHEN freshness_q16 <= 58981 THEN 'recent' ELSE 'current' END AS category, freshness_q16 // 2 AS bonus FROM q")
 def freshness_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = corpus(spark, sf_dir).select("cell_id", "created_unix_seconds")
     span = cells.agg(F.min("created_unix_seconds").alias("lo"), F.max("created_unix_seconds").alias("hi"))
     scaled = cells.crossJoin(F.broadcast(span)).withColumn("freshness_q16", fixed.min_max(F.col("created_unix_seconds"), F.col("lo"), F.col("hi")).cast("long"))  # one row
     q = F.col("freshness_q16")
-    return scaled.select("cell_id", "freshness_q16", F.when(q >= 49152, "fresh").when(q >= 32768, "recent").when(q >= 16384, "aging").otherwise("stale").alias("category"), fixed.div(q, 2).alias("bonus"))
+    return scaled.select("cell_id", "freshness_q16", F.when(q.isNull(), "unknown").when(q < 16384, "stale").when(q < 39322, "older").when(q < 58982, "recent").otherwise("current").alias("category"), fixed.div(q, 2).alias("bonus"))
 
 
 @query("citation_anomalies", f"WITH {CORPUS_SQL} SELECT cell_id, CASE WHEN source IS NULL OR trim(source) = '' THEN 'missing_citation' ELSE 'cited' END AS anomaly, CASE WHEN source IS NULL OR trim(source) = '' THEN 8 ELSE 0 END AS overhead FROM cells")

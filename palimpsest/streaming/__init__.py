@@ -1 +1 @@
-"""See the package README."""
+"""Structured Streaming: writes that keep derived tables up to date."""
