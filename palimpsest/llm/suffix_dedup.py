@@ -372,7 +372,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([blocks_[run]], type=pa.int64()), pa.array([data], type=pa.binary())], names=["block", "data"])
 
 
-_ADDED = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
+#: The columns that a report adds.
+REPORT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
 
 
 def _apply(columns: list[str], text_col: str, replace: bool):
@@ -407,7 +408,7 @@ def _apply(columns: list[str], text_col: str, replace: bool):
             arrays[columns.index(text_col)] = pa.array(new, type=pa.string())
         return pa.RecordBatch.from_arrays(
             [*arrays, pa.array(np.diff(offsets)), pa.array(removed), pa.array(sums(begin)), pa.array([hashlib.sha256(x).hexdigest() for x in texts])],
-            names=[*columns, *_ADDED],
+            names=[*columns, *REPORT],
         )
 
     return run
@@ -425,7 +426,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     those named like an added one give way to it.
     """
     spark = docs.sparkSession
-    columns = [c for c in columns or docs.columns if c not in _ADDED]
+    columns = [c for c in columns or docs.columns if c not in REPORT]
     phases = Phases(spark, "suffix")
     stored = blocks(docs.select(*dict.fromkeys([*columns, id_col, text_col])), text_col, phases)
     n = partitions(spark)
@@ -439,7 +440,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     answers = phases.write(runs.mapInArrow(_merge, "block long, data binary"), opaque=True)
     phases.drop(shared)
     phases.settle()
-    fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), *(f"{c} {t}" for c, t in _ADDED.items())])
+    fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), *(f"{c} {t}" for c, t in REPORT.items())])
     out = _with_bodies(stored, answers, n).mapInArrow(_apply(columns, text_col, replace), fields)
     if replace:
         return out  # whoever writes the texts can drop what they came from: scratch.release()

@@ -40,6 +40,72 @@ def run(spark, docs, labels, name):
     }[name]()
 
 
+TAKEN = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "toxicity", "score", "leaked_items", "leak_share", "more_items", "words", "taken", "chosen_id", "gone_", "toxicity_", "component_id", "kept")
+
+
+def test_clashing_names_give_way(spark, docs, labels):
+    """Columns named like those that an operator adds are replaced by them; others stay as they are."""
+    from pyspark.sql import functions as F
+
+    wide = docs.select("doc_id", "text", "source", "lang", F.length("text").alias("n_chars"), *(F.lit(7).alias(c) for c in TAKEN))
+    bench = spark.createDataFrame([(1, _BASE)], "item_id long, text string")
+    made = {
+        "op2": suffix_dedup.remove_repeats(wide, replace=True), "op6": toxicity.score_toxicity(wide, toxicity.learn(docs, labels)),
+        "op8": decontaminate.find_leaks(wide, bench), "op4": mixing.mixed_documents(wide, labels),
+    }
+    for name, df in made.items():
+        assert len(set(df.columns)) == len(df.columns) and set(wide.columns) <= set(df.columns), name
+        assert df.count() == (len(ROWS) if name != "op4" else df.count()) and {r["words"] for r in df.select("words").collect()} == {7}, name
+    for name in ("op1", "op3", "op5", "op7", "op10"):
+        assert run(spark, wide, labels, name).count() >= len(ROWS), name
+
+
+def test_empty_benchmark_finds_nothing(spark, docs):
+    none = spark.createDataFrame([(1, None), (None, "x y z")], "item_id long, text string")
+    for bench in (none, none.limit(0)):
+        assert {tuple(r["leaked_items"]) for r in decontaminate.find_leaks(docs, bench, columns=["doc_id"]).collect()} == {()}
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_sections_are_brute_force(spark, docs, rule):
+    """Each token's characters are placed one by one; a token goes to the line of its first, last or most of them."""
+    import tiktoken
+    from collections import Counter
+
+    coder = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=token_counts.load(token_counts.VOCABULARY), special_tokens={})
+    rows = [(r["doc_id"], (r["text"] or "")[:4000]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + [(9001, "é\nü\n\n\n  x\n"), (9002, ""), (9003, "a\n\n\nb"), (9004, "\n"), (9005, "日本\n語 ok\n")]
+    got: dict = {}
+    for r in token_counts.section_tokens(spark.createDataFrame(rows, "doc_id long, text string"), rule=rule).collect():
+        got.setdefault(r["doc_id"], {})[r["section"]] = (r["n_tokens"], r["n_crossing"])
+    for i, text in rows:
+        line, lines = 0, []
+        for c in text:
+            lines.append(line)
+            line += c == "\n"
+        owner = [k for k, c in enumerate(text) for _ in c.encode()]
+        want, crossing, at = Counter(), Counter(), 0
+        for token in coder.encode_ordinary(text):
+            n = len(coder.decode_single_token_bytes(token))
+            chars = sorted(set(owner[at : at + n]))
+            at += n
+            on = Counter(lines[k] for k in chars)
+            home = {"start": lines[chars[0]], "end": lines[chars[-1]], "most": min(on, key=lambda x: (-on[x], x))}[rule]
+            want[home] += 1
+            crossing[home] += len(on) > 1
+        assert got[i] == {s: (want[s], crossing[s]) for s in (sorted(set(lines)) or [0])}, (i, text[:40])
+
+
+def test_warc_is_a_group_by(spark):
+    """The query over all pages against plain Python."""
+    pages = {r["page_id"]: (r["html"] or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    first: dict[bytes, int] = {}
+    for i, raw in sorted(pages.items()):
+        first.setdefault(raw, i)
+    want = sorted((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first[raw] == i else "revisit", None if first[raw] == i else first[raw]) for i, raw in pages.items())
+    got = queries.QUERIES["op9_warc"](spark, SF).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op7", "op8", "op10"])
 def test_awkward_rows_give_a_row_each(spark, docs, labels, name):
     got = sorted(run(spark, docs, labels, name).select("doc_id").collect(), key=str)
@@ -407,3 +473,40 @@ def test_short_texts_have_true_likeness(spark):
     for (i, a), (_, b) in zip(rows, rows[1:] + rows[:1]):
         if a.split() and b.split():
             assert abs(got[i] - jaccard(a, b)) < 0.25, i
+
+
+def test_pipeline_stages_are_brute_force(spark, docs, labels):
+    """Each stage on what its predecessor kept: near duplicates and suffixes by their definitions, leaks by containment,
+    the mix by its SQL; then awkward rows with columns of any name."""
+    import corpus_pipeline
+    import duckdb
+    from pyspark.sql import functions as F
+
+    stages = dict(corpus_pipeline.STAGES)
+    own = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = stages["toxicity"](spark, own, SF)
+    scores = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(own, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    texts = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert set(texts) == {i for i, bad in scores.items() if not bad}
+    single = stages["near_dedup"](spark, clean, SF)
+    kept = {i for i, (_, label) in brute_components(texts, 5, 80).items() if i == label}
+    assert {r["doc_id"] for r in single.collect()} == kept
+    cut = stages["suffix_dedup"](spark, single, SF)
+    want = {r[0]: r[4] for r in brute_suffixes([(i, texts[i]) for i in kept])}
+    left = {r["doc_id"]: r["text"] for r in cut.collect()}
+    exact = [i for i in kept if hashlib.sha256((left[i] or "").encode()).hexdigest() == want[i]]
+    assert set(left) == kept and all(i in exact or len(left[i].encode()) < len(texts[i].encode()) for i in kept) and len(exact) > 0.9 * len(kept)
+    safe = stages["decontaminate"](spark, cut, SF)
+    items = [" ".join(r["text"].split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert {r["doc_id"] for r in safe.collect()} == {i for i, t in left.items() if not any(x in " ".join((t or "").split()) for x in items)}
+    con = duckdb.connect()
+    con.register("documents", safe.toArrow())
+    con.sql(f"create view labels as select * from '{SF}/labels.parquet'")
+    taken = {r[0]: r[4] for r in con.sql(f"select doc_id, size, source_size, target, taken from ({mixing.ORACLE})").fetchall() if r[4] > 0}
+    assert {r["doc_id"]: r["taken"] for r in stages["mixing"](spark, safe, SF).collect()} == taken
+    wide = docs.select("doc_id", "text", "source", "lang", F.length("text").alias("n_chars"), *(F.lit(7).alias(c) for c in TAKEN))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, SF)
+        assert set(out.columns) == set(wide.columns), name
+        rows = out.collect()
+        assert 0 < len(rows) <= len(ROWS) and all(r[c] == 7 for r in rows for c in TAKEN if not (name == "mixing" and c == "taken")), name
