@@ -32,7 +32,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     trust = F.when(F.col("k") % 3 == 0, 20000).otherwise(60000)
     cells = o.select("k", "d", trust.alias("trust_q16"), F.explode(notes).alias("x")).filter("x.body_text is not null and k % 5 <> 0")
     none = F.lit(None).cast("string")
-    return facts, cells.select("k", (F.col("k") * 2 + F.col("x.n")).alias("cell_id"), "x.body_text", "trust_q16", F.when(F.col("k") % 11 != 0, F.col("x.citation")).alias("citation"), none.alias("valid_from"), F.when(F.col("k") % 13 == 0, F.lit("1990")).alias("valid_to"))
+    return facts, cells.select("k", (F.col("k") * 2 + F.col("x.n")).alias("cell_id"), "x.body_text", "trust_q16", F.when(F.col("k") % 11 != 0, F.col("x.citation")).alias("citation"), none.alias("valid_from"), none.alias("valid_to"))
 
 
 _JUDGED = f"{_ORDERS}, j AS (SELECT *, k % 5 <> 0 AS seen, told = 0 AS wrong, kind < 2 AS denied FROM o)"
@@ -58,6 +58,16 @@ def verify_evidence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.evidence_order(verify.matches(facts, cells, "k"))
 
 
+@query("verify_stale", "SELECT o_orderkey AS fact_id FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '1997-06-15' OR CAST(o_orderdate AS DATE) + 30 < DATE '1997-06-15'")
+def verify_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts about a day whose only evidence isn't valid on it."""
+    day = F.to_date("o_orderdate")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact_id"), F.lit("status on 1997-06-15 is open").alias("fact"), day.cast("string").alias("valid_from"), F.date_add(day, 30).cast("string").alias("valid_to"))
+    cells = o.select("fact_id", F.col("fact_id").alias("cell_id"), F.lit("the status is open").alias("body_text"), F.lit(60000).alias("trust_q16"), F.lit("ledger").alias("citation"), "valid_from", "valid_to")
+    found = verify.matches(o.select("fact_id", "fact"), cells, "fact_id")
+    return found.filter(F.array_contains("guards", "stale_fact")).select("fact_id")
+
+
 # texts into rows
 
 @query("text_chunks")
