@@ -63,7 +63,7 @@ def unescape(value: str) -> str:
 def train(records: list[bytes]) -> bytes:
     """A dictionary of evenly spread records; empty where they are too few or too alike to train one."""
     total = sum(map(len, records))
-    step = max(1, -(-total // SAMPLE_BYTES))
+    step = max(1, min(-(-total // SAMPLE_BYTES), len(records) // 16))
     samples = [r[: 128 << 10] for r in records[::step]]
     if len(samples) < 16:
         return b""
