@@ -35,7 +35,8 @@ def matches(facts: DataFrame, evidence: DataFrame, on: str) -> DataFrame:
     valid_to, ``on``) of the same key, as it supports or contradicts the fact; texts that do neither, and have no
     guard, are left out. Texts without their fact's key are never looked at."""
     key = facts["fact_id"] if on == "fact_id" else F.col("fact_id")
-    pairs = facts.join(evidence, on).select(key.alias("fact_id"), "cell_id", "trust_q16", F.coalesce(F.trim("citation") != "", F.lit(False)).alias("cited"), "fact", "body_text", "valid_from", "valid_to")
+    # a join by shuffle: the judging costs more than the rows, and a broadcast would leave it to the tasks of the scan
+    pairs = facts.hint("merge").join(evidence, on).select(key.alias("fact_id"), "cell_id", "trust_q16", F.coalesce(F.trim("citation") != "", F.lit(False)).alias("cited"), "fact", "body_text", "valid_from", "valid_to")
     return pairs.mapInArrow(_judge, _MATCH).filter("support_q16 > 0 or contradiction_q16 > 0 or size(guards) > 0")
 
 

@@ -168,8 +168,10 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("corpus_term_stats", f"WITH {CORPUS_SQL}, t AS (SELECT cell_id, unnest({_TOKENS}) AS term FROM cells) SELECT term, count(DISTINCT cell_id) AS df, count(*) AS tf FROM t GROUP BY 1")
 def corpus_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = corpus(spark, sf_dir).select("cell_id", F.explode(tokens(F.col("body_text"))).alias("term")).groupBy("term", "cell_id").agg(F.count("*").alias("n"))
-    return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+    """A document's terms are sorted within its row, so that both counts are sums of one partial aggregation by term."""
+    sorted_ = corpus(spark, sf_dir).select(F.sort_array(tokens(F.col("body_text"))).alias("t"))
+    each = sorted_.select(F.explode(F.zip_with("t", F.concat(F.array(F.lit("")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0)))), lambda x, y: F.struct(x.alias("term"), F.when(x != y, 1).otherwise(0).alias("first")))).alias("x")).filter("x.term is not null")
+    return each.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.first").alias("df"), F.count("*").alias("tf"))
 
 
 @query("segment_stats", f"WITH {CORPUS_SQL} SELECT scope, status, count(*) AS n, min(created_unix_seconds) AS first_created, max(created_unix_seconds) AS last_created, CAST(sum(length(body_text)) AS BIGINT) AS chars FROM cells GROUP BY 1, 2")

@@ -173,3 +173,17 @@ def test_json_leaves(spark):
     df = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": {"d": {"e": {"f": {"g": true}}}}}]}, "z": "t"}'), (2, "not json"), (3, None), (4, "{}")], "id long, j string")
     got = sorted((r["id"], r["path"], r["value"]) for r in json_leaves(df, "id", "j").collect())
     assert got == [(1, "a.b.0", "1"), (1, "a.b.1.c.d.e.f.g", "true"), (1, "z", "t"), (2, "", "not json"), (4, "", "{}")]
+
+
+def test_questions():
+    from palimpsest.functions import questions
+
+    assert questions.anchors('see `old plan` in ABC-12, #7 and src/a.py v1.2 on 2024-01-02, for 5%!') == [("quoted_phrase", "old plan"), ("ticket_id", "ABC-12"), ("pull_request", "#7"), ("file_path", "src/a.py"), ("version", "v1.2"), ("date", "2024-01-02"), ("number", "5%")]
+    assert questions.quoted_terms('FOR TASK "red car" IN "b') == ["red", "car"] and questions.quoted_terms("red") == []
+    assert questions.expanded("red car", {"car": ["auto", "red", "van"], "red": ["auto", "scarlet"]}) == ["auto", "scarlet"]
+
+
+def test_hashes():
+    from palimpsest.functions.text import fnv1a64, scope_id
+
+    assert fnv1a64(b"") == 0xCBF29CE484222325 and fnv1a64(b"a") == 0xAF63DC4C8601EC8C and scope_id("a") == 0xAF63DC4C8601EC8C & ((1 << 60) - 1)
