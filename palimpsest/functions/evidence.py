@@ -47,7 +47,12 @@ class Value:
 
 
 def numeric_values(text: str | None) -> list[Value]:
-    """The numbers of a text. The word before may name a currency or unit; the two words behind, and letters that are
+    """The numbers of a text, in order."""
+    return [value for _, value in placed_values(text)]
+
+
+def placed_values(text: str | None) -> list[tuple[int, Value]]:
+    """The numbers of a text with the place of their word. The word before may name a currency or unit; the two words behind, and letters that are
     stuck on, a unit, a magnitude and a currency, each taken once, in this order of preference."""
     words = (text or "").split()
     out = []
@@ -65,7 +70,7 @@ def numeric_values(text: str | None) -> list[Value]:
         _offer(slots, stuck, ("magnitude", "unit", "currency"), every=True)
         factor = slots.get("magnitude")
         number = Fraction(f"{whole}.{fraction or 0}") * factor if factor else int(whole)
-        out.append(Value(int(number), slots.get("currency"), slots.get("unit")))
+        out.append((i, Value(int(number), slots.get("currency"), slots.get("unit"))))
     return out
 
 
@@ -113,7 +118,7 @@ def display(value: Value) -> str:
 
 def date_bounds(text: str) -> tuple[str, str] | None:
     """First and last day of ``2021``, ``2021-03`` or ``2021/03/05``, from 1900 to 2199."""
-    hit = re.fullmatch(r"(\d{4})(?:([-/])(\d{2})(?:\2(\d{2}))?)?", text.strip(".,;:()[]\"'"))
+    hit = re.fullmatch(r"(\d{4})(?:([-/])(\d{2})(?:\2(\d{2}))?)?", text.strip(".,;:()[]\"'?!"))
     if not hit or not 1900 <= int(hit[1]) <= 2199:
         return None
     year, month, day = int(hit[1]), hit[3] and int(hit[3]), hit[4] and int(hit[4])

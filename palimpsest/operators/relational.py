@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,20 +87,28 @@ def khop(edges: DataFrame, start: list[str], hops: int) -> DataFrame:
     return seen.withColumn("proximity_q16", fixed.div(F.lit(fixed.ONE), F.col("depth") + 1).cast("long"))
 
 
-def synonym_pairs(docs: DataFrame, *, first: int = 64, least_df: int = 3, least_pairs: int = 2, top: int = 8, most: int = 10_000) -> DataFrame:
+def synonym_pairs(docs: DataFrame, *, abbreviations: DataFrame | None = None, first: int = 64, least_df: int = 3, least_pairs: int = 2, top: int = 8, most: int = 10_000) -> DataFrame:
     """(term, synonym, association_q16, rn) from (doc_id, terms): ``first`` distinct terms of a document count, the
-    ``most`` entries of the most frequent terms are kept with the ``top`` synonyms of each.
+    ``most`` entries of the most frequent terms are kept with the ``top`` synonyms of each. Pairs of ``abbreviations``
+    (term, synonym, co) are sure, both ways, and of whatever frequency.
 
     Pairs are made within a document's bounded list and summed map-side, so no key carries more than the others."""
     lists = docs.select("doc_id", F.slice(F.array_distinct("terms"), 1, first).alias("terms"))
     each = lists.select("doc_id", F.explode("terms").alias("term"))
-    df = each.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least_df)
+    every = each.groupBy("term").agg(F.count("*").alias("df"))
+    df = every.filter(F.col("df") >= least_df)
     often = each.join(df.select("term"), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
     left = often.select(F.posexplode("terms").alias("i", "a"), "terms")
     both = left.select("a", F.explode(F.slice("terms", F.col("i") + 2, first)).alias("b")).groupBy("a", "b").agg(F.count("*").alias("co")).filter(F.col("co") >= least_pairs)
-    pairs = both.select(F.col("a").alias("term"), F.col("b").alias("synonym"), "co").unionByName(both.select(F.col("b").alias("term"), F.col("a").alias("synonym"), "co"))
+    ways = lambda x: x.unionByName(x.select(F.col("synonym").alias("term"), F.col("term").alias("synonym"), "co"))
+    pairs = ways(both.select(F.col("a").alias("term"), F.col("b").alias("synonym"), "co"))
     sized = pairs.join(df.withColumnRenamed("df", "df_a"), "term").join(df.select(F.col("term").alias("synonym"), F.col("df").alias("df_b")), "synonym")
     scored = sized.withColumn("association_q16", fixed.div(F.col("co") * fixed.ONE, F.least("df_a", "df_b")).cast("long"))
+    if abbreviations is not None:
+        sure = ways(abbreviations.select("term", "synonym", "co")).join(every.withColumnRenamed("df", "df_a"), "term").withColumn("association_q16", F.lit(fixed.ONE).cast("long"))
+        shape = ["term", "synonym", "df_a"]
+        best = F.max(F.struct("association_q16", "co")).alias("b")
+        scored = scored.select(*shape, "association_q16", "co").unionByName(sure.select(*shape, "association_q16", "co")).groupBy(*shape).agg(best).select(*shape, "b.*")
     rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("association_q16"), F.desc("co"), "synonym"))
     kept = scored.withColumn("rn", rank).filter(F.col("rn") <= top)
     entries = kept.filter("rn = 1").orderBy(F.desc("df_a"), "term").limit(most).select("term")
@@ -134,3 +144,73 @@ def idempotent(requests: DataFrame, key: str, payload: str, order: str) -> DataF
     first = Window.partitionBy(key).orderBy(order)
     same = F.col(payload).eqNullSafe(F.first(payload).over(first))
     return requests.withColumn("outcome", F.when(F.row_number().over(first) == 1, "applied").when(same, "replayed").otherwise("conflict"))
+
+
+def coverage_of_lines(expected: DataFrame, lines: DataFrame, *, dimension: int | None = None, model: str | None = None, least_bps: int = 10_000) -> DataFrame:
+    """One row of counts over JSON lines (pos, value) of vectors against ``expected`` (doc_id, text_hash or null).
+
+    A line counts once, as the first of: invalid (no JSON, id or vector), an empty vector, another dimension (than given,
+    else than the first line's with a vector), an unexpected id, stale (another model or text), embedded, a duplicate of
+    an embedded one. Lines are summed by what they say before they meet the ids, so a repeated id is one row."""
+    shape = "doc_id string, vector array<double>, model string, text_hash string"
+    read = lines.filter(F.trim("value") != "").select("pos", F.from_json("value", shape).alias("r")).select("pos", F.nullif(F.trim("r.doc_id"), F.lit("")).alias("id"), F.col("r.doc_id").alias("doc_id"), F.size("r.vector").alias("n"), F.col("r.vector").isNull().alias("no_vector"), "r.model", F.col("r.text_hash").alias("told_hash"))
+    invalid = F.col("id").isNull() | F.col("no_vector")
+    if dimension is None:
+        first = read.filter(~invalid & (F.col("n") > 0)).agg(F.min_by("n", "pos").alias("n")).first()
+        dimension = first["n"] if first else None
+    fault = F.when(invalid, "invalid").when(F.col("n") == 0, "empty").when(F.col("n") != F.lit(dimension), "wrong_dimension")
+    told = read.withColumn("fault", fault).groupBy(F.when(F.col("fault").isNull(), F.col("doc_id")).alias("doc_id"), "fault", F.when(F.col("fault").isNull(), F.col("model")).alias("model"), F.when(F.col("fault").isNull(), F.col("told_hash")).alias("told_hash")).agg(F.count("*").alias("rows"))
+    wanted = expected.filter(F.trim("doc_id") != "").groupBy("doc_id").agg(F.max("text_hash").alias("text_hash"), F.lit(True).alias("expected"))
+    joined = told.join(wanted, "doc_id", "full")
+    stale = F.lit(False) if model is None else ~F.col("model").eqNullSafe(F.lit(model))
+    stale |= F.col("text_hash").isNotNull() & ~F.col("told_hash").eqNullSafe(F.col("text_hash"))
+    kind = F.when(F.col("rows").isNull(), "none").otherwise(F.coalesce("fault", F.when(F.col("expected").isNull(), "unexpected").when(stale, "stale").otherwise("good")))
+    rows = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rows"))), F.lit(0))
+    # an id's rows of different models may all be good; it is embedded once
+    per = joined.withColumn("kind", kind).groupBy("doc_id", "expected").agg(*(rows(k).alias(k) for k in ("invalid", "empty", "wrong_dimension", "unexpected", "stale", "good")))
+    total = lambda k: F.coalesce(F.sum(k), F.lit(0)).cast("long")
+    out = per.agg(F.count("expected").alias("total_items"), F.count(F.when(F.col("good") > 0, 1)).alias("embedded_items"), total(F.greatest(F.col("good") - 1, F.lit(0))).alias("duplicate_items"), total("unexpected").alias("unexpected_items"), total("invalid").alias("invalid_rows"), total("empty").alias("empty_vector_rows"), total("wrong_dimension").alias("dimension_mismatch_rows"), total("stale").alias("stale_items"))
+    bps = F.when(F.col("total_items") == 0, 10_000).otherwise(fixed.div(F.col("embedded_items") * 10_000, F.col("total_items"))).cast("long")
+    faults = [c for c in out.columns if c not in ("total_items", "embedded_items")]
+    clean = reduce(lambda a, b: a & b, (F.col(c) == 0 for c in faults))
+    return out.withColumn("missing_items", F.col("total_items") - F.col("embedded_items")).withColumn("coverage_bps", bps).withColumn("production_ready", (F.col("coverage_bps") >= least_bps) & clean)
+
+
+def neighbourhood(edges: DataFrame, seed: str, hops: int, *, entities: DataFrame | None = None, budget: int = 10_000) -> tuple[DataFrame, dict[str, int | bool]]:
+    """Hits (cell_id, matched_entity, depth, proximity_q16, path) around a named entity, and what the walk took.
+
+    ``edges``: (relation_id, subject, object); ``entities``: (cell_id, name). Entities are visited in the order they
+    were found, their edges by relation_id, at most ``budget`` edges in all; the rest of the walk is dropped and said so
+    (``budget_exceeded``). A hop is one join with the entities just found, and no more than ``budget`` rows of it come
+    to the driver, so neither grows with the graph."""
+    spark, seed = edges.sparkSession, seed.strip()
+    shape = "at long, name string"
+    ends = edges.select("relation_id", F.explode(F.array_distinct(F.array(F.struct(F.col("subject").alias("name"), F.col("object").alias("other")), F.struct(F.col("object").alias("name"), F.col("subject").alias("other"))))).alias("e")).select("relation_id", "e.*")
+    hits: dict[int, tuple] = {}
+    seen: dict[str, list[int]] = {seed: []} if seed else {}
+    depth_of, front, taken, over, visited = {seed: 0}, list(seen), 0, False, 0
+    for depth in range(1, hops + 1):
+        if not front or over:
+            break
+        here = spark.createDataFrame(list(enumerate(front)), shape)
+        found = ends.join(F.broadcast(here), "name").groupBy("at", "relation_id").agg(F.min("name").alias("name"), F.min("other").alias("other"))
+        rows = found.orderBy("at", "relation_id").limit(budget - taken + 1).collect()
+        over = len(rows) > budget - taken
+        new = []
+        for r in rows[: budget - taken]:
+            other = (r["other"] or "").strip()
+            if not other:
+                continue
+            path = [*seen[r["name"]], r["relation_id"]]
+            hits.setdefault(r["relation_id"], (r["relation_id"], other, depth, fixed.ONE // (depth + 1), path))
+            if other not in seen:
+                seen[other], depth_of[other] = path, depth
+                new.append(other)
+        # past the budget, the entity whose edge is refused is the last one visited
+        visited += rows[-1]["at"] + 1 if over else len(front)
+        taken, front = taken + min(len(rows), budget - taken), new
+    out = spark.createDataFrame(list(hits.values()), "cell_id long, matched_entity string, depth int, proximity_q16 int, path array<long>")
+    if entities is not None:
+        named = spark.createDataFrame([(n, depth_of[n], fixed.ONE // (depth_of[n] + 1) if depth_of[n] else fixed.ONE, p) for n, p in seen.items()], "name string, depth int, proximity_q16 int, path array<long>")
+        out = out.unionByName(entities.join(F.broadcast(named), "name").select("cell_id", F.col("name").alias("matched_entity"), "depth", "proximity_q16", "path"))
+    return out, {"visited_edges": taken, "visited_entities": visited + (0 if over else len(front)), "budget_exceeded": over}

@@ -7,13 +7,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import fixed
-from palimpsest.functions.text import tokens
+from palimpsest.functions import fixed, intent, requirements, scopes
+from palimpsest.functions.questions import anchors
+from palimpsest.functions.text import python_tokens, tokens
 from palimpsest.operators.relational import memory_decay
 from palimpsest.plans.aql import FIELDS, AgentView, Both, Bound, Comparison, Not
+from palimpsest.sources.cells import DEFAULT_TRUST
 
 #: Lexical, semantic, recency and trust shares of each mode, in hundredths; the last takes the rounding.
 MODE_WEIGHTS = {"fast": (55, 10, 25, 10), "balanced": (30, 35, 20, 15), "hybrid": (35, 35, 15, 15), "semantic": (15, 55, 15, 15), "audit": (20, 20, 20, 40)}
@@ -213,3 +216,41 @@ def retrieve(cells: DataFrame, bound: Bound, terms: list[str], now: int, *, dens
         out = out.withColumn("rn_", F.when(F.col("entity").isNull() | F.col("topic").isNull(), 1).otherwise(newest)).filter("rn_ = 1").drop("rn_")
     out = dedup_content(out, [F.desc("score"), F.asc("cell_id")])
     return out.orderBy(F.desc("score"), "cell_id").limit(bound.limit)
+
+
+#: What a covered requirement and a term of the question add, evidence by kind, the least evidence.
+REQUIREMENT_BONUS, TERM_BONUS, EVIDENCE, LEAST_EVIDENCE, METADATA_SCALE = 2_500, 1_000, 2, 2, 1024
+
+
+def hybrid_rerank(pool: DataFrame, question: str, *, text: str = "body_text", rules: tuple = intent.RULES) -> DataFrame:
+    """A bounded pool (base, lexical, semantic, source_trust_q16, created_unix_seconds, ``text`` and the fields that
+    scopes look at) with ``score``: the weighted scores of the question's profile, what the text holds of its anchors,
+    sources, requirements, conditions and terms, and the scope; less where the text shows no evidence; and trust and
+    recency within the pool."""
+    lexical_w, semantic_w, anchor_w, source_w, scope_w, condition_w, gate, _ = intent.PROFILES[intent.profile_type(question, rules)]
+    named = [list(dict.fromkeys(python_tokens(t))) for _, t in anchors(question)]
+    sources, terms = requirements.source_hints(question), python_tokens(question)
+    required, asked, wanted = requirements.requirements(question), requirements.conditions(question), scopes.directives(question)
+    low = F.col("low_")
+    has = lambda t: F.contains(low, F.lit(t)).cast("long")
+    add = lambda parts: reduce(lambda a, b: a + b, parts, F.lit(0).cast("long"))
+
+    @F.pandas_udf("long")
+    def met(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: requirements.condition_bonus(asked, t))
+
+    held = pool.withColumn("low_", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    held = held.withColumn("covered_", F.size(requirements.covered(low, required)).cast("long")).withColumn("met_", met(low) if asked else F.lit(0).cast("long")).withColumn("scope_", scopes.bonus(wanted, pool.columns))
+    worth = add(has(t) for anchor in named for t in anchor) * anchor_w + add(map(has, sources)) * source_w + F.col("covered_") * REQUIREMENT_BONUS + F.col("met_") * condition_w + add(map(has, terms)) * TERM_BONUS + F.col("scope_") * scope_w
+    some = lambda words: F.least(add(map(has, words)), F.lit(1))
+    shown = (add(some(a) for a in named) + some(sources) + (F.col("met_") > 0).cast("long") + F.when(F.col("covered_") >= 2, F.col("covered_")).otherwise(0)) * EVIDENCE + add(has(t) for t in terms if len(t.encode()) >= 3 and t not in requirements.NO_EVIDENCE)
+    total = F.coalesce("base", F.lit(0)) + F.coalesce("lexical", F.lit(0)) * lexical_w + F.coalesce("semantic", F.lit(0)) * semantic_w + worth
+    gated = F.when(F.col(text).isNull() | (shown >= LEAST_EVIDENCE), total).otherwise(fixed.div(total * gate, F.lit(fixed.ONE)))
+    trust_w, fresh_w = intent.metadata_weights(question, asked.dates is not None, rules)
+    every, made = Window.partitionBy(), F.col("created_unix_seconds")
+    # the pool is a ranked list of bounded length, so one task may hold it
+    recency = F.coalesce(fixed.min_max(made, F.min(made).over(every), F.max(made).over(every)), F.lit(0))
+    recency = F.when(made.isNull(), 0).otherwise(recency)
+    part = lambda value, weight: fixed.div(value * METADATA_SCALE * F.lit(weight).cast("long"), F.lit(fixed.ONE).cast("long"))
+    scored = gated + part(F.coalesce("source_trust_q16", F.lit(DEFAULT_TRUST)).cast("long"), trust_w) + part(recency.cast("long"), fresh_w)
+    return held.withColumn("score", scored.cast("long")).drop("low_", "covered_", "met_", "scope_")

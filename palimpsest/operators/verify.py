@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import evidence as say
+from palimpsest.functions import fixed
+from palimpsest.functions.text import tokens
 
 _MATCH = "fact_id long, cell_id long, trust_q16 int, cited boolean, support_kind string, support_q16 int, contradiction_kind string, contradiction_q16 int, guards array<string>"
 
@@ -58,3 +60,23 @@ def evidence_order(found: DataFrame, most: int = 8) -> DataFrame:
 
     rank = F.row_number().over(Window.partitionBy("fact_id").orderBy(F.desc("support_q16"), F.desc("trust_q16"), "cell_id"))
     return found.filter("support_q16 > 0").withColumn("rn", rank.cast("long")).filter(F.col("rn") <= most).select("fact_id", "rn", "cell_id", "support_kind")
+
+
+#: Spellings of the relation between facts that contradict each other.
+CONTRADICTS = ("fact_contradicts_fact", "contradicts_fact", "contradicts")
+
+
+def graph_contradictions(facts: DataFrame, relations: DataFrame, on: str) -> DataFrame:
+    """(fact_id, cell_id, matched_terms, match_q16, trust_q16, citation): relations (cell_id, subject, predicate, object,
+    trust_q16, citation, ``on``) that say a fact contradicts another, for each fact of the same key.
+
+    The other fact stands in words, so an object that only names a cell counts not at all. At least one term is taken to
+    match; a relation without a citation cites the source that an end of it names."""
+    said = F.regexp_replace(F.lower(F.trim("predicate")), r"[ -]", "_").isin(*CONTRADICTS) & ~F.rlike(F.trim("object"), F.lit(r"^cell:\d+$"))
+    found = relations.filter(F.col("object").isNotNull() & said)
+    end = lambda c: F.nullif(F.regexp_extract(F.trim(c), "^source:(.+)$", 1), F.lit(""))
+    key = facts["fact_id"] if on == "fact_id" else F.col("fact_id")
+    both = facts.join(found, on).withColumn("terms_", tokens(F.col("fact"))).withColumn("own_", tokens(F.col("object")))
+    matched = F.greatest(F.size(F.filter("terms_", lambda t: F.array_contains(F.col("own_"), t))), F.lit(1))
+    score = F.when(F.size("terms_") == 0, 0).otherwise(F.least(fixed.div(matched * fixed.ONE, F.size("terms_")), F.lit(fixed.ONE)))
+    return both.select(key.alias("fact_id"), "cell_id", matched.cast("long").alias("matched_terms"), score.cast("long").alias("match_q16"), "trust_q16", F.coalesce(F.nullif(F.trim("citation"), F.lit("")), end("subject"), end("object")).alias("citation"))

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from palimpsest.plans import catalog, evidence, headers, lifecycle  # noqa: F401
+from palimpsest.plans import catalog, evidence, headers, lifecycle, questions  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
