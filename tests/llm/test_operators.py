@@ -510,3 +510,22 @@ def test_pipeline_stages_are_brute_force(spark, docs, labels):
         assert set(out.columns) == set(wide.columns), name
         rows = out.collect()
         assert 0 < len(rows) <= len(ROWS) and all(r[c] == 7 for r in rows for c in TAKEN if not (name == "mixing" and c == "taken")), name
+
+
+def test_components_with_hubs_in_parts(spark, monkeypatch):
+    """Hubs of most nodes, chains of small ones, repeated rows: the least node reachable, however hubs are cut."""
+    import random
+
+    from palimpsest.llm import grouping
+    from palimpsest.llm.scratch import Phases
+
+    rng = random.Random(5)
+    links = [(n, 1000) for n in range(100, 180)] + [(n, 1001 + n // 2) for n in range(40)] + [(n, 2000 + rng.randrange(30)) for n in range(200, 260)] + [(100, 1000)] * 5 + [(n + 1, 1001 + n // 2) for n in range(1, 20, 6)]
+    at = {n: n for n, _ in links}
+    for _ in at:
+        least = {h: min(at[n] for n, g in links if g == h) for _, h in links}
+        at = {n: min(least[h] for m, h in links if m == n) for n in at}
+    monkeypatch.setattr(grouping, "HUB_ROWS", 3)
+    got = grouping.components(spark.createDataFrame(links, "node long, hub long"), Phases(spark, "near")).collect()
+    assert {r["node"]: r["component"] for r in got} == at and len(got) == len(at)
+    assert grouping.components(spark.createDataFrame([], "node long, hub long"), Phases(spark, "near")).count() == 0
