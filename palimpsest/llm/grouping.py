@@ -45,7 +45,7 @@ def hash_key(*columns: Column) -> Column:
 HUB_ROWS, SPLIT_HUBS = 512, 100_000
 
 
-def _in_parts(links: DataFrame, phases: Phases) -> DataFrame:
+def in_parts(links: DataFrame, phases: Phases) -> DataFrame:
     """Rows (node, hub, part, parts): a hub with many nodes is cut into parts by a hash of the node.
 
     The rows of a part grow with those of all hubs once ``SPLIT_HUBS`` would not do, so no more hubs than that are split."""
@@ -55,6 +55,11 @@ def _in_parts(links: DataFrame, phases: Phases) -> DataFrame:
     return phases.write(links.join(F.broadcast(many), "hub", "left").select("node", "hub", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), parts.alias("parts")))
 
 
+def to_parts(hubs: DataFrame) -> DataFrame:
+    """Rows of hubs (hub, parts, …), one for each part."""
+    return hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
 def components(incidence: DataFrame, phases: Phases, *, stored: bool = False) -> DataFrame:
     """(node, component): the least node reachable through shared hubs, from rows (node, hub); ``stored`` if they are
     distinct and written already.
@@ -64,14 +69,13 @@ def components(incidence: DataFrame, phases: Phases, *, stored: bool = False) ->
     out and only the number of changed labels reaches the driver.
     """
     given = incidence if stored else phases.write(incidence.select("node", "hub").distinct())
-    links = _in_parts(given, phases)
+    links = in_parts(given, phases)
     if not stored:
         phases.drop(given)
     labels = phases.write(links.groupBy("node").agg(F.min("node").alias("component")))
     while True:
         hubs = links.join(labels, "node").groupBy("hub").agg(F.min("component").alias("least"), F.max("parts").alias("parts"))
-        sent = hubs.select("hub", "least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        told = links.join(sent, ["hub", "part"]).groupBy("node").agg(F.min("least").alias("component"))
+        told = links.join(to_parts(hubs), ["hub", "part"]).groupBy("node").agg(F.min("least").alias("component"))
         told = phases.write(told)
         jump = told.select(F.col("node").alias("component"), F.col("component").alias("further"))
         moved = phases.write(told.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component")))
