@@ -7,18 +7,19 @@ parameters cost). A token is scored in the longest suffix of its context that is
 distributions are smoothed from suffix to suffix (Witten-Bell), down to the root.
 
 The root is the unigram distribution with absolute discounting; the discounted mass goes to the one unknown token,
-so probabilities over the known tokens and the unknown one sum to one, as in the base score. Tokens with a share of
-``SHARE`` or more are symbols of their own (1 / SHARE at most, so the broadcast bound is known); all others form
-the rare class and share its probability in a context as they do in the root.
+so probabilities over the known tokens and the unknown one sum to one, as in the base score. Every trained token is a
+symbol of its own, unless a share is named below which tokens form one class and share its probability in a context as
+they do in the root.
 
-1. Texts are cut into tokens once. A block keeps them as numbers of its own word list and sends that list, front-coded
+1. Texts are cut into tokens once. A block keeps them as numbers of its own word list and sends that list, sorted and
    with training counts, by word hash.
-2. Each bucket sums the counts of its words over all blocks and answers every block, in the block's word order, with
-   counts and symbols. Words are needed no further.
+2. Each bucket sums the counts of its words over all blocks, numbers them by falling count, and answers every block, in
+   the block's word order, with counts and symbols. Words are needed no further; no table of them is gathered anywhere.
 3. Blocks write their tokens as symbols, with what the counts alone give, and send their (context, symbol) keys of
-   depth 1 with training counts, by context; buckets sum and test them and answer every block. Keys of depths 2 and 3
-   whose latest symbol is a state follow, by their latest two symbols, so that a bucket tests both depths. Every
-   context that passes is a state: no table of states is gathered anywhere.
+   depth 1 with training counts, by context; buckets sum and test them and answer every block, also whether a key is in
+   other blocks. Keys of depths 2 and 3 whose latest symbol is a state follow, by their latest two symbols, so that a
+   bucket tests both depths. Where those two stand in one block only, no other block has a part in the counts, and the
+   block tests them itself. Every context that passes is a state: no table of states is gathered anywhere.
 4. Blocks add up their documents.
 
 The number of buckets is that of shuffle partitions; a block is ``BLOCK_BYTES`` of text, so messages are as many as
@@ -32,7 +33,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +45,11 @@ from . import textvec
 from .arrays import pack, unpack
 from .grouping import partitions, sorted_groups
 from .scratch import Phases
-from .suffix_dedup import front_decode
 
-#: Longest context; nats a context must save; symbols of their own have this share of all tokens.
+#: Longest context; nats a context must save; the share of all tokens below which tokens may form one class.
 DEPTH, MIN_GAIN, SHARE = 3, 6.0, 1.6e-5
-_BITS = np.uint64(16)
+#: Symbols are 32-bit numbers, this one the class of tokens that are none.
+_HALF, CLASS = np.uint64(32), 0xFFFFFFFF
 PIECE_BYTES, BLOCK_BYTES = 1 << 20, 4 << 20
 #: The end of a text, as a word that no text holds.
 END = b"\n"
@@ -83,7 +84,7 @@ class _Coder:
     def rows(self, n: int) -> pa.RecordBatch:
         """The tokens with bucket -1, and the word list of each bucket with training counts."""
         lists = _by_bucket(list(self.number), n)
-        order = np.fromiter((self.number[w] for ws in lists for w in ws), np.int64, len(self.number))
+        order = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), np.int64, len(self.number))
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         tokens = rank[np.concatenate(self.tokens)]
@@ -95,7 +96,7 @@ class _Coder:
         out, at = [(-1, pack(tokens=tokens, lengths=lengths, known=known, ids=ids))], 0
         for b, words in enumerate(lists):
             if words:
-                out.append((b, pack(**code_words(words), counts=counts[at : at + len(words)])))
+                out.append((b, pack(words=b" ".join(words), counts=_narrow(counts[at : at + len(words)]))))
                 at += len(words)
         return _rows(self.block, out)
 
@@ -110,20 +111,6 @@ def _by_bucket(words: list[bytes], n: int) -> list[list[bytes]]:
     return out
 
 
-def code_words(words: list[bytes]) -> dict:
-    """Front-coded sorted words of any length."""
-    known = [0] * len(words)
-    before, rest = b"", []
-    for i, w in enumerate(words):
-        n = min(len(before), len(w), 255)
-        if before[:n] != w[:n]:
-            n -= ((int.from_bytes(before[:n], "big") ^ int.from_bytes(w[:n], "big")).bit_length() + 7) // 8
-        known[i] = n
-        rest.append(w[n:])
-        before = w
-    return {"known": np.array(known, np.uint8), "lengths": np.array([len(w) for w in words], np.uint32), "rest": b"".join(rest)}
-
-
 def _code(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, coder, made = TaskContext.get().partitionId() << 32, None, 0
@@ -144,135 +131,178 @@ def _code(n: int):
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a bucket: its words with summed counts, and each block's words as numbers."""
+    """One row a bucket: summed counts of its words by falling count, the end first, and each block's words as numbers."""
     for (bucket,), table in sorted_groups(batches, ["bucket"]):
-        total: dict[bytes, int] = {}
-        lists = []
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        lists, seen = [], []
         for data in table["data"].to_pylist():
             p = unpack(data)
-            words = front_decode(p["known"], p["lengths"], p["rest"])
-            lists.append(words)
-            for w, c in zip(words, p["counts"].tolist(), strict=True):
-                total[w] = total.get(w, 0) + c
-        words = sorted(total)
-        number = dict(zip(words, range(len(words)), strict=True))
-        held = [pack(at=np.diff(np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)), prepend=0).astype(np.uint32)) for ws in lists]
-        counts = np.fromiter(map(total.__getitem__, words), np.int64, len(words))
+            lists.append(np.fromiter(map(number.__getitem__, p["words"].split(b" ")), np.int64, len(p["counts"])))
+            seen.append(p["counts"].astype(np.int64))
+        total = _weigh(np.concatenate(lists), np.concatenate(seen), len(number))
+        order = np.fromiter(map(number.__getitem__, sorted(number)), np.int64, len(number))
+        order = order[np.argsort(-total[order], kind="stable")]
+        if END in number:
+            order = np.append(number[END], order[order != number[END]])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        held, counts = [pack(at=_narrow(rank[x])) for x in lists], total[order]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([bucket], pa.int32()), pa.array([pack(**code_words(words), counts=counts)], pa.binary()), pa.array([int(counts.sum())]), pa.array([int((counts > 0).sum())]), pa.array([table["block"].to_pylist()], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.binary()))],
-            names=["bucket", "words", "n_tokens", "n_distinct", "blocks", "held"],
+            [pa.array([bucket], pa.int32()), pa.array([pack(counts=counts)], pa.binary()), pa.array([int(counts.sum())]), pa.array([int((counts > 0).sum())]), pa.array([table["block"].to_pylist()], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.binary()))],
+            names=["bucket", "counts", "n_tokens", "n_distinct", "blocks", "held"],
         )
 
 
-def _answer(root):
-    """Counts and symbols of each block's words."""
+def _own(bucket: int, counts: np.ndarray, least: int, end: int) -> np.ndarray:
+    """Which words of a bucket are symbols: the first ones, as they come by falling count."""
+    own = counts >= least
+    if bucket == end:
+        own[0] = True
+    return own
+
+
+def _census(least: int, end: int):
+    """Of each bucket: words counted once and twice, symbols, their counts' sum, symbols counted once and never."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rare = root.value.number, len(root.value.number)
         for batch in batches:
-            for bucket, data, own, held in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                p = unpack(data)
-                words = front_decode(p["known"], p["lengths"], p["rest"])
-                symbols = np.fromiter(map(number.get, words, repeat(rare)), np.uint16, len(words))
-                for block, at in zip(own, held, strict=True):
-                    i = np.cumsum(unpack(at)["at"].astype(np.int64))
-                    yield _rows(block, [(bucket, pack(counts=p["counts"][i], symbols=symbols[i]))])
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = unpack(data)["counts"]
+                symbols = counts[_own(bucket, counts, least, end)]
+                figures = [counts == 1, counts == 2, np.ones(len(symbols)), symbols, symbols == 1, symbols == 0]
+                yield pa.RecordBatch.from_arrays([pa.array([int(x.sum())]) for x in figures], names=["one", "two", "own", "own_n", "own_one", "own_none"])
 
     return run
 
 
-def _census(least: int):
-    """Words counted ``least`` times or more, and how many distinct words are counted once and twice."""
+@dataclass
+class Root:
+    """What the counts of all words give: a word is a symbol from ``least`` on, ``end`` is the end's number."""
+
+    least: int
+    end: int
+    n_tokens: int
+    n_distinct: int
+    discount: float
+    class_probability: float
+    class_count: int
+
+    def probability(self, names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.where(names == CLASS, self.class_probability, np.maximum(counts - self.discount, 1e-9) / max(self.n_tokens, 1))
+
+
+def plant(summed: DataFrame, n: int, share: float) -> Root:
+    """Six sums over the buckets; the words stay where they are."""
+    n_tokens, n_distinct = summed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
+    least, end = max(2, math.ceil(n_tokens * share)) if share else 1, zlib.crc32(END) % n
+    names = ["one", "two", "own", "own_n", "own_one", "own_none"]
+    census = summed.select("bucket", "counts").mapInArrow(_census(least, end), ", ".join(f"{x} long" for x in names))
+    one, two, own, own_n, own_one, own_none = census.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in names)).first()
+    discount = one / (one + 2 * two) if one else 0.0
+    mass = own_n - own_one - discount * (own - own_one - own_none) + own_one * max(1 - discount, 1e-9) + own_none * 1e-9
+    return Root(least, end, n_tokens, n_distinct, discount, max(1 - mass / max(n_tokens, 1), 1e-12), n_tokens - own_n)
+
+
+def _answer(root: Root, n: int):
+    """Counts and symbols of each block's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                p = unpack(data)
-                counts = p["counts"]
-                words = front_decode(p["known"], p["lengths"], p["rest"])
-                often = np.flatnonzero(counts >= least)
-                yield pa.RecordBatch.from_arrays([pa.array([None, None, *(words[i] for i in often)], pa.binary()), pa.array([1, 2, *([0] * len(often))], pa.int32()), pa.array([int((counts == 1).sum()), int((counts == 2).sum()), *counts[often].tolist()], pa.int64())], names=["word", "once", "n"])
+            for bucket, data, blocks, held in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                counts = unpack(data)["counts"]
+                own = _own(bucket, counts, root.least, root.end)
+                if int(own.sum()) * n > CLASS:
+                    raise OverflowError("more symbols than 32 bits can number")
+                symbols = np.where(own, np.arange(len(own)) * n + bucket, CLASS)
+                for block, at in zip(blocks, held, strict=True):
+                    i = unpack(at)["at"]
+                    yield _rows(block, [(bucket, pack(counts=_narrow(counts[i]), symbols=symbols[i].astype(np.uint32)))])
 
     return run
 
 
-@dataclass
-class Root:
-    """Symbols by word, the root's probabilities, and the symbols' shares of the training tokens."""
-
-    number: dict[bytes, int]
-    probability: np.ndarray
-    share: np.ndarray
-
-    def keyed(self, flat: np.ndarray, depth: int) -> np.ndarray:
-        """(context, symbol) keys: the ``depth`` symbols before and the symbol, 16 bits each, the latest lowest."""
-        padded = np.concatenate([np.full(depth, self.number[END], flat.dtype), flat])
-        out = np.zeros(len(flat), np.uint64)
-        for j in range(depth + 1):
-            out <<= _BITS
-            out |= padded[j : j + len(flat)]
-        return out
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 on in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
 
 
-@dataclass
-class Keys:
-    """A block's distinct keys of one depth, by bucket and then in order, and each token's place among them."""
-
-    own: np.ndarray
-    place: np.ndarray
-    bounds: np.ndarray
-
-    @classmethod
-    def of(cls, keys: np.ndarray, low: int, n: int) -> Keys:
-        """Buckets by all but the ``low`` lowest bits of the keys."""
-        own, place = np.unique(keys, return_inverse=True)
-        bucket = (((own >> np.uint64(low)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)
-        order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        return cls(own[order], rank[place], np.searchsorted(bucket[order], np.arange(n + 1, dtype=np.uint64)))
-
-    def trained(self, trained: np.ndarray) -> np.ndarray:
-        return np.bincount(self.place, weights=trained, minlength=len(self.own)).astype(np.int64)
-
-    def told(self, answers: dict[int, dict], depth: int) -> tuple[np.ndarray, ...]:
-        """Count, context's total and context's kinds of each key; 0 where its context isn't a state."""
-        out = np.zeros((3, len(self.own)), np.int64)
-        for b, x in answers.items():
-            for to, name in zip(out, "ntk", strict=True):
-                to[self.bounds[b] : self.bounds[b + 1]] = x[f"{name}{depth}"]
-        return tuple(out)
+def _steps(x: np.ndarray) -> np.ndarray:
+    return _narrow(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(x)))
+
+
+def _pair(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (high.astype(np.uint64) << _HALF) | low.astype(np.uint64)
+
+
+def _sorted(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Stable order of pairs of 32-bit numbers, the pairs in it as one number each, and the bits of its lower part.
+
+    Where bits are left for the places, those are sorted along, which is several times faster."""
+    bits, at = (int(low.max()).bit_length(), len(low).bit_length()) if len(low) else (0, 0)
+    pairs = (high.astype(np.uint64) << np.uint64(bits)) | low.astype(np.uint64)
+    if len(low) and int(high.max()).bit_length() + bits + at <= 64:
+        pairs = (pairs << np.uint64(at)) | np.arange(len(pairs), dtype=np.uint64)
+        pairs.sort()
+        return (pairs & np.uint64((1 << at) - 1)).astype(np.int64), pairs >> np.uint64(at), bits
+    order = np.argsort(pairs, kind="stable")
+    return order, pairs[order], bits
 
 
-def _steps(keys: np.ndarray) -> np.ndarray:
-    return np.diff(keys, prepend=np.uint64(0))
+def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, as two columns, and the place of each pair among them."""
+    order, pairs, bits = _sorted(high, low)
+    new = np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]
+    place = np.empty(len(pairs), np.int64)
+    place[order] = np.cumsum(new) - 1
+    own = pairs[new]
+    return (own >> np.uint64(bits)).astype(np.int64), (own & np.uint64((1 << bits) - 1)).astype(np.int64), place
 
 
-def _states(own: np.ndarray, n: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For sorted keys: count, context's total and context's kinds; 0 where the context isn't a state.
+def _dense(x: np.ndarray) -> np.ndarray:
+    return np.unique(x, return_inverse=True)[1]
+
+
+def _deal(x: np.ndarray, n: int) -> np.ndarray:
+    return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)
+
+
+def _weigh(place: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(place, weights=n, minlength=size).astype(np.int64)
+
+
+def _states(context: np.ndarray, n: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For keys sorted by context: count, context's total and context's kinds; 0 where the context isn't a state.
 
     ``parent``: the symbol's share in the context's suffix, 0 where that isn't a state."""
-    if not len(own):
+    if not len(n):
         return n, n, n
-    first = np.flatnonzero(np.diff(own >> _BITS, prepend=~(own[:1] >> _BITS)))
-    size = np.diff(np.append(first, len(own)))
+    first, size = _runs(context)
     total, kinds = np.add.reduceat(n, first), np.add.reduceat((n > 0).astype(np.int64), first)
     seen = (n > 0) & (parent > 0)
-    each = np.zeros(len(own))
+    each = np.zeros(len(n))
     each[seen] = n[seen] * np.log(n[seen] / np.repeat(total, size)[seen] / parent[seen])
     gain = np.add.reduceat(each, first) - kinds / 2 * np.log(np.maximum(total, 1))
     state = np.repeat((total > 0) & np.logical_or.reduceat(seen, first) & (gain >= MIN_GAIN), size)
     return n * state, np.repeat(total, size) * state, np.repeat(kinds, size) * state
 
 
-def _merged(parts: list[dict], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of all blocks with their counts, each block's places among them, and where the blocks end."""
-    keys = [np.cumsum(p[f"keys{min(depth, 2)}"]) for p in parts]
-    if depth > 2:
-        keys = [np.repeat(k, p["more"]) | (p["first"].astype(np.uint64) << np.uint64(48)) for k, p in zip(keys, parts, strict=True)]
-    own, place = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(place, weights=np.concatenate([p[f"n{depth}"] for p in parts]), minlength=len(own)).astype(np.int64)
-    return own, n, place, np.cumsum([0, *map(len, keys)])
+def _deeper_states(context: np.ndarray, n: np.ndarray, parent: np.ndarray, two: np.ndarray, earliest: np.ndarray, n3: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """As ``_states`` for keys of depth 2, and for those of depth 3: places of their keys of depth 2, first symbols, counts."""
+    found = _states(context, n, parent)
+    deep = tuple(np.zeros(len(two), np.int64) for _ in range(3))
+    at = np.flatnonzero(found[1][two] > 0)
+    order, of, _ = _sorted(context[two[at]], earliest[at])
+    at = at[order]
+    for to, x in zip(deep, _states(of, n3[at], found[0][two[at]] / found[1][two[at]]), strict=True):
+        to[at] = x
+    return found, deep
 
 
 def _rows(block: int, data: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -282,28 +312,135 @@ def _rows(block: int, data: list[tuple[int, bytes]]) -> pa.RecordBatch:
 _ROWS = "block long, bucket int, data binary"
 
 
+@dataclass
+class Deeper:
+    """Tokens with keys of depths 2 and 3 (``three``: those of ``at`` that have three before them), and their places.
+
+    A key of depth 2 is a pair's rank and the symbol, one of depth 3 the place of that key and its first symbol."""
+
+    at: np.ndarray
+    pair: np.ndarray
+    symbol: np.ndarray
+    place2: np.ndarray
+    three: np.ndarray
+    two: np.ndarray
+    earliest: np.ndarray
+    place3: np.ndarray
+
+    def counts(self, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _weigh(self.place2, trained[self.at], len(self.pair)), _weigh(self.place3, trained[self.three], len(self.two))
+
+
 class Block:
-    """A block's tokens as symbols, and its keys."""
+    """A block's tokens as numbers of its own symbols, and its keys.
+
+    The keys of depth 1, which are the pairs of neighbours too, come by bucket, context and symbol."""
 
     def __init__(self, root: Root, tokens: dict, n: int) -> None:
-        self.root, self.n = root, n
-        self.flat, self.lengths = tokens["flat"], tokens["lengths"].astype(np.int64)
+        self.n, self.flat, self.lengths = n, tokens["flat"].astype(np.int64), tokens["lengths"].astype(np.int64)
+        self.names, self.counts = np.cumsum(tokens["names"].astype(np.int64)), tokens["counts"].astype(np.int64)
         self.ids = [i if k else None for i, k in zip(tokens["ids"].tolist(), tokens["known"].tolist(), strict=True)]
         # tokens before each in its document, plus one: END stands before a text
         ends = np.cumsum(self.lengths)
-        self.before = (np.arange(1, len(self.flat) + 1) - np.repeat(ends - self.lengths, self.lengths)).astype(np.int32)
+        self.before = np.arange(1, len(self.flat) + 1) - np.repeat(ends - self.lengths, self.lengths)
         self.trained = np.repeat([not held_out(i) for i in self.ids], self.lengths)
-        self.one = Keys.of(root.keyed(self.flat, 1), 16, n)
-
-    def deeper(self, total: np.ndarray) -> Iterator[tuple[int, np.ndarray, Keys]]:
-        """(depth, tokens, keys) of the tokens whose latest symbol is a state; ``total`` of the keys of depth 1.
+        bucket = _deal(self.names, n)
+        order = _sorted(bucket, np.zeros(len(bucket), np.int64))[0]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        latest = np.append(np.searchsorted(self.names, root.end), self.flat[:-1])
+        context, self.symbol, self.place = _distinct(rank[latest], self.flat)
+        self.context = order[context]
+        self.bounds = np.searchsorted(bucket[self.context], np.arange(n + 1, dtype=np.uint64))
+
+    def ask(self) -> Iterator[tuple[int, bytes]]:
+        """Keys of depth 1 by bucket, with training counts and those of the symbol."""
+        counts = _weigh(self.place, self.trained, len(self.symbol))
+        for b, (i, j) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True)):
+            if i < j:
+                first, size = _runs(self.context[i:j])
+                symbol = self.symbol[i:j]
+                yield b, pack(context=_steps(self.names[self.context[i:j][first]]), more=_narrow(size), symbol=_narrow(self.names[symbol]), n=_narrow(counts[i:j]), above=_narrow(self.counts[symbol]))
+
+    def hear(self, answers: dict[int, dict]) -> None:
+        """Count, context's total and context's kinds of each key of depth 1; whether other blocks have it."""
+        self.first = np.zeros((3, len(self.symbol)), np.int64)
+        self.shared = np.zeros(len(self.symbol), bool)
+        for b, x in answers.items():
+            i, j = self.bounds[b], self.bounds[b + 1]
+            for to, name in zip(self.first, "ntk", strict=True):
+                to[i:j] = x[name]
+            self.shared[i:j] = np.unpackbits(x["shared"], count=j - i)
+        # pairs by bucket and latest symbol
+        self.pair_bucket = _deal(_pair(self.names[self.symbol], self.names[self.context]), self.n)
+        self.pairs = _sorted(self.pair_bucket, self.symbol)[0]
+        self.rank = np.empty(len(self.pairs), np.int64)
+        self.rank[self.pairs] = np.arange(len(self.pairs))
+
+    def deeper(self, shared: bool) -> Deeper:
+        """Of the tokens whose latest symbol is a state, after pairs that other blocks have or not."""
+        at = np.flatnonzero((self.first[1][self.place] > 0) & (self.before >= 2))
+        pair = self.place[at - 1]
+        chosen = self.shared[pair] == shared
+        at, pair = at[chosen], pair[chosen]
+        long = self.before[at] >= DEPTH
+        three = at[long]
+        ranks, symbol, place2 = _distinct(self.rank[pair], self.flat[at])
+        return Deeper(at, ranks, symbol, place2, three, *_distinct(place2[long], self.flat[three - DEPTH]))
+
+    def suffix(self, keys: Deeper) -> np.ndarray:
+        """The key of depth 1 that each key of depth 2 ends in: its count and total are those of the context's suffix."""
+        out = np.empty(len(keys.pair), np.int64)
+        out[keys.place2] = self.place[keys.at]
+        return out
 
-        The keys of depth 3 have their first symbol last, so that they follow those of depth 2."""
-        live = total[self.one.place] > 0
-        for depth in range(2, DEPTH + 1):
-            at = np.flatnonzero(live & (self.before >= depth))
-            keys = self.root.keyed(self.flat, depth)[at]
-            yield depth, at, Keys.of(keys if depth == 2 else (keys << _BITS) | (keys >> np.uint64(48)), 16 * (depth - 1), self.n)
+    def bounds2(self, keys: Deeper) -> tuple[np.ndarray, np.ndarray]:
+        """Where the buckets' keys of depths 2 and 3 begin."""
+        two = np.searchsorted(self.pair_bucket[self.pairs[keys.pair]], np.arange(self.n + 1, dtype=np.uint64))
+        return two, np.searchsorted(keys.two, two)
+
+    def ask_deeper(self) -> Iterator[tuple[int, bytes]]:
+        """Keys of depths 2 and 3 by bucket: latest symbols, the ones before, the symbols, the first symbols."""
+        keys = self.deeper(True)
+        n2, n3 = keys.counts(self.trained)
+        above, of = self.first[:2, self.suffix(keys)]
+        pair, symbol, earliest = keys.pair, keys.symbol, keys.earliest
+        more3 = np.bincount(keys.two, minlength=len(pair))
+        for (i, j), (i3, j3) in zip(*(zip(x[:-1], x[1:], strict=True) for x in self.bounds2(keys)), strict=True):
+            if i < j:
+                first, size = _runs(pair[i:j])
+                ends = self.pairs[pair[i:j][first]]
+                latest, size1 = _runs(self.symbol[ends])
+                yield (
+                    int(self.pair_bucket[ends[0]]),
+                    pack(
+                        latest=_steps(self.names[self.symbol[ends[latest]]]), of=_narrow(of[i:j][first[latest]]), more1=_narrow(size1), earlier=_narrow(self.names[self.context[ends]]), more2=_narrow(size), symbol=_narrow(self.names[symbol[i:j]]),
+                        n2=_narrow(n2[i:j]), above=_narrow(above[i:j]), more3=_narrow(more3[i:j]), earliest=_narrow(self.names[earliest[i3:j3]]), n3=_narrow(n3[i3:j3]),
+                    ),
+                )
+
+    def scored(self, root: Root, answers: dict[int, dict]) -> np.ndarray:
+        """Probabilities of the tokens, which are those of their longest keys."""
+        one = _blend(root.probability(self.names, self.counts)[self.symbol], *self.first)
+        p = one[self.place]
+        for shared in (True, False):
+            keys = self.deeper(shared)
+            suffix = self.suffix(keys)
+            if shared:
+                found = [np.zeros((3, len(x)), np.int64) for x in (keys.pair, keys.two)]
+                bounds = self.bounds2(keys)
+                for b, x in answers.items():
+                    for to, ends, depth in zip(found, bounds, (2, 3), strict=True):
+                        for row, name in zip(to, "ntk", strict=True):
+                            row[ends[b] : ends[b + 1]] = x[f"{name}{depth}"]
+            else:
+                above, of = self.first[:2, suffix]
+                n2, n3 = keys.counts(self.trained)
+                found = _deeper_states(keys.pair, n2, above / of, keys.two, keys.earliest, n3)
+            two = _blend(one[suffix], *found[0])
+            p[keys.at] = two[keys.place2]
+            p[keys.three] = _blend(two[keys.two], *found[1])[keys.place3]
+        return p
 
 
 def _told(table: pa.Table, kind: int) -> dict[int, dict]:
@@ -315,27 +452,26 @@ def _told(table: pa.Table, kind: int) -> dict[int, dict]:
     return out
 
 
-def _ask_first(root, n: int, n_tokens: int, n_distinct: int, discount: float):
+def _ask_first(root: Root, n: int):
     """A block's symbols with what its documents' counts give (bucket -1), and its keys of depth 1 by bucket."""
-    floor = n_tokens + 0.1 * (n_distinct + 1)
-    unknown = max(discount * n_distinct, 1e-9)
+    floor = root.n_tokens + 0.1 * (root.n_distinct + 1)
+    unknown = max(root.discount * root.n_distinct, 1e-9)
 
     def ask(table: pa.Table) -> list[tuple[int, bytes]]:
-        r = root.value
         tokens, told = _told(table, -1)[-1], _told(table, 0)
-        c = np.concatenate([told[b]["counts"] for b in sorted(told)])
-        symbol = np.concatenate([told[b]["symbols"] for b in sorted(told)])
+        c = np.concatenate([told[b]["counts"].astype(np.int64) for b in sorted(told)])
+        symbol = np.concatenate([told[b]["symbols"] for b in sorted(told)]).astype(np.int64)
         # by word first, then by token
-        share = np.where(c > 0, np.maximum(c - discount, 1e-9), unknown) / max(n_tokens, 1) / r.probability[-1]
-        rare = np.where(symbol == len(r.number), np.log10(share), 0.0)
+        share = np.where(c > 0, np.maximum(c - root.discount, 1e-9), unknown) / max(root.n_tokens, 1) / root.class_probability
+        rare = np.where(symbol == CLASS, np.log10(share), 0.0)
         own, lengths = tokens["tokens"], tokens["lengths"].astype(np.int64)
         cut = np.cumsum(lengths) - lengths
         by_doc = lambda x: np.add.reduceat(x[own], cut)
-        held = {"flat": symbol[own], "lengths": tokens["lengths"], "ids": tokens["ids"], "known": tokens["known"], "n_known": by_doc((c > 0).astype(np.int64)), "base": by_doc(np.log10((c + 0.1) / floor)), "rare": by_doc(rare)}
-        block = Block(r, held, n)
-        one, counts = block.one, block.one.trained(block.trained)
-        spans = [(b, one.bounds[b], one.bounds[b + 1]) for b in range(n) if one.bounds[b] < one.bounds[b + 1]]
-        return [(-1, pack(**held)), *((b, pack(keys1=_steps(one.own[i:j]), n1=counts[i:j])) for b, i, j in spans)]
+        names, place = np.unique(symbol, return_inverse=True)
+        counts = np.zeros(len(names), np.int64)
+        counts[place] = np.where(symbol == CLASS, root.class_count, c)
+        held = {"flat": _narrow(place[own]), "names": _steps(names), "counts": _narrow(counts), "lengths": tokens["lengths"], "ids": tokens["ids"], "known": tokens["known"], "n_known": by_doc((c > 0).astype(np.int64)), "base": by_doc(np.log10((c + 0.1) / floor)), "rare": by_doc(rare)}
+        return [(-1, pack(**held)), *Block(root, held, n).ask()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (number,), table in sorted_groups(batches, ["block"]):
@@ -344,36 +480,37 @@ def _ask_first(root, n: int, n_tokens: int, n_distinct: int, discount: float):
     return run
 
 
-def _answer_first(root):
+def _joined(parts: list[dict], name: str) -> np.ndarray:
+    return np.concatenate([p[name].astype(np.int64) for p in parts])
+
+
+def _ends(parts: list[dict], name: str) -> list[tuple[int, int]]:
+    ends = np.cumsum([0, *(len(p[name]) for p in parts)]).tolist()
+    return list(zip(ends[:-1], ends[1:], strict=True))
+
+
+def _answer_first(root: Root):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), table in sorted_groups(batches, ["bucket"]):
-            own, n, place, ends = _merged([unpack(x) for x in table["data"].to_pylist()], 1)
-            found = _states(own, n, root.value.share[(own & np.uint64(65535)).astype(np.int64)])
-            for block, i, j in zip(table["block"].to_pylist(), ends[:-1], ends[1:], strict=True):
-                yield _rows(block, [(bucket, pack(**{f"{k}1": x[place[i:j]] for k, x in zip("ntk", found, strict=True)}))])
+            parts = [unpack(x) for x in table["data"].to_pylist()]
+            context = _dense(np.concatenate([np.cumsum(p["context"].astype(np.int64)) for p in parts]))
+            own, _, place = _distinct(np.repeat(context, _joined(parts, "more")), _joined(parts, "symbol"))
+            above = np.zeros(len(own), np.int64)
+            above[place] = _joined(parts, "above")
+            found = _states(own, _weigh(place, _joined(parts, "n"), len(own)), above / max(root.n_tokens, 1))
+            shared = np.bincount(place, minlength=len(own)) > 1
+            for block, (i, j) in zip(table["block"].to_pylist(), _ends(parts, "symbol"), strict=True):
+                yield _rows(block, [(bucket, pack(shared=np.packbits(shared[place[i:j]]), **{k: _narrow(x[place[i:j]]) for k, x in zip("ntk", found, strict=True)}))])
 
     return run
 
 
-def _ask_deeper(root, n: int):
+def _ask_deeper(root: Root, n: int):
     # a function of its own for a block, so that its arrays are gone before the next one's are made
     def ask(table: pa.Table) -> list[tuple[int, bytes]]:
-        block = Block(root.value, _told(table, -1)[-1], n)
-        count, total, _ = block.one.told(_told(table, 1), 1)
-        out: list[dict] = [{} for _ in range(n)]
-        for depth, at, keys in block.deeper(total):
-            counts = keys.trained(block.trained[at])
-            if depth == 2:
-                two, above = keys, np.zeros((2, len(keys.own)), np.int64)
-                above[:, keys.place] = count[block.one.place[at]], total[block.one.place[at]]
-            for b in range(n):
-                i, j = keys.bounds[b], keys.bounds[b + 1]
-                if depth == 2:
-                    out[b] = {"keys2": _steps(keys.own[i:j]), "n2": counts[i:j], "above": above[0, i:j], "of": above[1, i:j]}
-                else:
-                    ends = np.searchsorted(keys.own[i:j] >> _BITS, two.own[two.bounds[b] : two.bounds[b + 1]], side="right")
-                    out[b] |= {"more": np.diff(ends, prepend=0), "first": (keys.own[i:j] & np.uint64(65535)).astype(np.uint16), "n3": counts[i:j]}
-        return [(b, pack(**x)) for b, x in enumerate(out) if len(x["keys2"])]
+        block = Block(root, _told(table, -1)[-1], n)
+        block.hear(_told(table, 1))
+        return list(block.ask_deeper())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (number,), table in sorted_groups(batches, ["block"]):
@@ -386,53 +523,30 @@ def _answer_deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """A bucket has all contexts that end in its pairs of symbols, so every state of depth 2 or more is found in it."""
     for (bucket,), table in sorted_groups(batches, ["bucket"]):
         parts = [unpack(x) for x in table["data"].to_pylist()]
-        own, n, place, ends = _merged(parts, 2)
-        parent = np.zeros(len(own))
-        parent[place] = np.concatenate([p["above"] for p in parts]) / np.concatenate([p["of"] for p in parts])
-        out: list[dict] = [{} for _ in parts]
-        for depth in range(2, DEPTH + 1):
-            if depth > 2:
-                before, share = own, found[0] / np.maximum(found[1], 1)
-                own, n, place, ends = _merged(parts, depth)
-                # a key without its first symbol is a key of the depth before
-                parent = share[np.searchsorted(before, own & np.uint64((1 << 16 * depth) - 1))]
-            found = _states(own, n, parent)
-            for to, i, j in zip(out, ends[:-1], ends[1:], strict=True):
-                to |= {f"{k}{depth}": x[place[i:j]] for k, x in zip("ntk", found, strict=True)}
-        for block, x in zip(table["block"].to_pylist(), out, strict=True):
-            yield _rows(block, [(bucket, pack(**x))])
-
-
-def plant(summed: DataFrame, n_tokens: int) -> tuple[Root, float]:
-    """The root and its discount."""
-    census = summed.select("words").mapInArrow(_census(max(2, math.ceil(n_tokens * SHARE))), "word binary, once int, n long")
-    seen = census.groupBy("word", "once").agg(F.sum("n").alias("n")).toArrow().to_pylist()
-    often = sorted((-r["n"], r["word"]) for r in seen if r["word"] is not None and r["word"] != END)
-    one, two = (next((r["n"] for r in seen if r["once"] == k), 0) for k in (1, 2))
-    discount = one / (one + 2 * two) if one else 0.0
-    number = {w: i for i, (_, w) in enumerate(often)}
-    number[END] = len(number)
-    ends = next((r["n"] for r in seen if r["word"] == END), 0)
-    counts = np.array([-c for c, _ in often] + [ends], float)
-    root = np.maximum(counts - discount, 1e-9) / max(n_tokens, 1)
-    share = np.append(counts, n_tokens - counts.sum()) / max(n_tokens, 1)
-    return Root(number, np.append(root, max(1 - root.sum(), 1e-12)), share), discount
-
-
-def _score(root, n: int, n_tokens: int):
+        more1, more2 = _joined(parts, "more1"), _joined(parts, "more2")
+        latest = _dense(np.concatenate([np.cumsum(p["latest"].astype(np.int64)) for p in parts]))
+        of = np.repeat(np.repeat(_joined(parts, "of"), more1), more2)
+        pair = _distinct(np.repeat(latest, more1), _joined(parts, "earlier"))[2]
+        context, _, place2 = _distinct(np.repeat(pair, more2), _joined(parts, "symbol"))
+        own3, earliest, place3 = _distinct(np.repeat(place2, _joined(parts, "more3")), _joined(parts, "earliest"))
+        parent = np.zeros(len(context))
+        parent[place2] = _joined(parts, "above") / of
+        two, three = _deeper_states(context, _weigh(place2, _joined(parts, "n2"), len(context)), parent, own3, earliest, _weigh(place3, _joined(parts, "n3"), len(own3)))
+        for block, (i, j), (i3, j3) in zip(table["block"].to_pylist(), _ends(parts, "symbol"), _ends(parts, "earliest"), strict=True):
+            out = {f"{k}2": _narrow(x[place2[i:j]]) for k, x in zip("ntk", two, strict=True)} | {f"{k}3": _narrow(x[place3[i3:j3]]) for k, x in zip("ntk", three, strict=True)}
+            yield _rows(block, [(bucket, pack(**out))])
+
+
+def _score(root: Root, n: int):
     def score(table: pa.Table) -> pa.RecordBatch:
-        r, held = root.value, _told(table, -1)[-1]
-        block = Block(r, held, n)
-        p = r.probability[block.flat]
-        first = block.one.told(_told(table, 1), 1)
-        p = _blend(p, *(x[block.one.place] for x in first))
-        deeper = _told(table, 2)
-        for depth, at, keys in block.deeper(first[1]):
-            p[at] = _blend(p[at], *(x[keys.place] for x in keys.told(deeper, depth)))
+        held = _told(table, -1)[-1]
+        block = Block(root, held, n)
+        block.hear(_told(table, 1))
+        p = block.scored(root, _told(table, 2))
         scores = np.add.reduceat(np.log10(p), np.cumsum(block.lengths) - block.lengths) + held["rare"]
         ids = block.ids
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(block.lengths), pa.array(held["n_known"]), pa.array(np.full(len(ids), n_tokens, np.int64)), pa.array(held["base"]), pa.array(scores)],
+            [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(block.lengths), pa.array(held["n_known"]), pa.array(np.full(len(ids), root.n_tokens, np.int64)), pa.array(held["base"]), pa.array(scores)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
@@ -448,12 +562,14 @@ def _blend(p: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -
     return np.where(total > 0, (n + kinds * p) / np.maximum(total + kinds, 1), p)
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Learns from rows whose ``crc32(doc_id) % 10`` isn't 0. A text's tokens are its lower-cased words and one end,
     so a null or empty text has one token. Rows without a doc_id are held out; repeated rows count as often as
-    they stand. An empty table gives an empty result. Other columns are neither read nor returned.
+    they stand. An empty table gives an empty result.
+    ``share``: tokens with a smaller share of the trained ones, and those counted once, form one class (a smaller
+    model); 0: every trained token is a symbol with contexts of its own. Other columns are neither read nor returned.
     """
     spark = docs.sparkSession
     phases = Phases(spark, "lm")
@@ -463,23 +579,22 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kinds = lambda rows, kind: rows.selectExpr("block", f"{kind} kind", "bucket", "data")
     own = F.col("bucket") < 0
     coded = phases.write(slim.mapInArrow(_code(n), _ROWS), opaque=True)
-    summed = phases.write(dealt(coded.filter(~own), "bucket").mapInArrow(_sum, "bucket int, words binary, n_tokens long, n_distinct long, blocks array<long>, held array<binary>"), opaque=True)
+    summed = phases.write(dealt(coded.filter(~own), "bucket").mapInArrow(_sum, "bucket int, counts binary, n_tokens long, n_distinct long, blocks array<long>, held array<binary>"), opaque=True)
     phases.settle()
-    size = summed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
-    root, discount = plant(summed, size[0])
-    root = spark.sparkContext.broadcast(root)
-    answers = summed.select("bucket", "words", "blocks", "held").mapInArrow(_answer(root), _ROWS)
-    asked = dealt(kinds(coded.filter(own), -1).union(kinds(answers, 0)), "block").mapInArrow(_ask_first(root, n, *size, discount), _ROWS)
-    asked = phases.write(asked, opaque=True)
+    root = plant(summed, n, share)
+    answers = summed.select("bucket", "counts", "blocks", "held").mapInArrow(_answer(root, n), _ROWS)
+    asked = dealt(kinds(coded.filter(own), -1).union(kinds(answers, 0)), "block").mapInArrow(_ask_first(root, n), _ROWS)
+    asked = phases.write(asked.withColumn("own", own), opaque=True, by="own")
     phases.drop(coded, summed)
     phases.settle()
-    tokens = kinds(asked.filter(own), -1)
-    first = phases.write(dealt(asked.filter(~own), "bucket").mapInArrow(_answer_first(root), _ROWS), opaque=True)
+    tokens = kinds(asked.filter("own"), -1)
+    first = phases.write(dealt(asked.filter("not own").select("block", "bucket", "data"), "bucket").mapInArrow(_answer_first(root), _ROWS), opaque=True)
+    phases.drop(asked, part="own=false")
     phases.settle()
     deeper = dealt(tokens.union(kinds(first, 1)), "block").mapInArrow(_ask_deeper(root, n), _ROWS)
     deeper = phases.write(dealt(deeper, "bucket").mapInArrow(_answer_deeper, _ROWS), opaque=True)
     phases.settle()
     every = dealt(tokens.union(kinds(first, 1)).union(kinds(deeper, 2)), "block")
-    out = phases.write(every.mapInArrow(_score(root, n, size[0]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    out = phases.write(every.mapInArrow(_score(root, n), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     phases.drop(asked, first, deeper)
     return out

@@ -529,3 +529,61 @@ def test_components_with_hubs_in_parts(spark, monkeypatch):
     got = grouping.components(spark.createDataFrame(links, "node long, hub long"), Phases(spark, "near")).collect()
     assert {r["node"]: r["component"] for r in got} == at and len(got) == len(at)
     assert grouping.components(spark.createDataFrame([], "node long, hub long"), Phases(spark, "near")).count() == 0
+
+
+def test_language_model_has_contexts_of_every_word(spark):
+    """Against brute force in which each trained word, however seldom, is a symbol; over one block and over several."""
+    import math
+    from collections import Counter, defaultdict
+
+    larger = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    twice = "zyxa zyxb zyxc zyxd zyxe"  # seldom words in a fixed order, which only their own contexts tell
+    planted = spark.createDataFrame([(10_000_000 + i, twice if i < 4 else None) for i in range(6)], "doc_id long, text string")
+    larger = larger.select("doc_id", "text").union(planted).repartition(4, "doc_id").cache()
+    for docs, result in ((spark.read.parquet(f"{SF}/documents.parquet"), queries.QUERIES["op7_language_model"](spark, SF)), (larger, language_model.score_documents(larger, share=0))):
+        texts = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), language_model.END] for r in docs.collect()}
+        got = {r["doc_id"]: r["score"] for r in result.collect()}
+        assert got.keys() == texts.keys()
+        trained = [ws for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 10]
+        count = Counter(w for ws in trained for w in ws)
+        total = sum(count.values())
+        one, two = (sum(c == k for c in count.values()) for k in (1, 2))
+        discount = one / (one + 2 * two)
+        root = {w: (c - discount) / total for w, c in count.items()}
+        states: list[dict] = [{(): (count, total)}]
+        for depth in (1, 2, 3):
+            seen: dict = defaultdict(Counter)
+            for ws in trained:
+                s = [language_model.END, *ws]
+                for j in range(depth, len(s)):
+                    if tuple(s[j - depth + 1 : j]) in states[-1]:
+                        seen[tuple(s[j - depth : j])][s[j]] += 1
+            kept = {}
+            for context, following in seen.items():
+                (above, of), n = states[-1][context[1:]], following.total()
+                if sum(c * math.log(c / n / (above[x] / of)) for x, c in following.items()) - len(following) / 2 * math.log(n) >= language_model.MIN_GAIN:
+                    kept[context] = (following, n)
+            states.append(kept)
+        for i, ws in texts.items():
+            s, score = [language_model.END, *ws], 0.0
+            for j in range(1, len(s)):
+                p = root.get(s[j], discount * len(count) / total)
+                for depth in range(1, min(j, 3) + 1):
+                    following, n = states[depth].get(tuple(s[j - depth : j]), (None, 0))
+                    if following is None:
+                        break
+                    p = (following[s[j]] + len(following) * p) / (n + len(following))
+                score += math.log10(p)
+            assert math.isclose(got[i], score, rel_tol=1e-9), i
+
+
+def test_distinct_pairs_of_any_width():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for high, low in ((9, 5), (1 << 31, 1 << 32), (1 << 32, 1 << 32)):
+        a, b = high - 1 - rng.integers(0, 9, 500), low - 1 - rng.integers(0, 5, 500)
+        own_a, own_b, place = language_model._distinct(a, b)
+        assert list(zip(own_a.tolist(), own_b.tolist(), strict=True)) == sorted(set(zip(a.tolist(), b.tolist(), strict=True)))
+        assert (own_a[place] == a).all() and (own_b[place] == b).all()
+    assert all(not len(x) for x in language_model._distinct(a[:0], b[:0]))
