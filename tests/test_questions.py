@@ -158,6 +158,31 @@ def test_walk_stops_at_its_budget(spark):
     assert {(r["cell_id"], r["depth"], r["proximity_q16"]) for r in hits.filter("cell_id >= 10").collect()} == {(10, 0, 65535), (11, 2, 21845)}
 
 
+def test_whole_walk_equals_the_bounded_one(spark):
+    import random
+
+    rng = random.Random(3)
+    name = lambda: rng.choice(["", " a", *"abcdefghijklmnopqrstuvwxyz"])
+    rows = [(rng.randrange(40), name(), name()) for _ in range(45)]
+    edges = spark.createDataFrame([*rows, (99, "a", None)], "relation_id long, subject string, object string")
+    entities = spark.createDataFrame([(100, "a"), (101, "d"), (102, "zz")], "cell_id long, name string")
+    for hops in (1, 3):
+        want, took = relational.neighbourhood(edges, " a ", hops, entities=entities)
+        got = relational.whole_neighbourhood(edges, " a ", hops, entities=entities)
+        assert not took["budget_exceeded"] and got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert relational.whole_neighbourhood(edges, " ", 2).count() == 0
+
+
+def test_graph_walk_has_no_budget(spark, tmp_path):
+    from palimpsest.plans.questions import QUERIES
+
+    spark.range(1).selectExpr("cast(7 as int) n_nationkey", "cast(0 as int) n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(100_005).selectExpr("id c_custkey", "cast(7 as int) c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    row = QUERIES["graph_walk"](spark, str(tmp_path)).selectExpr("count(*)", "count(distinct cell_id)", "max(path)").first()
+    assert tuple(row) == (100_006, 100_006, "7,99999")
+
+
 @pytest.mark.parametrize("name", ["hybrid_rerank", "embedding_text_hash", "deterministic_embeddings", "synonym_dictionary"])
 def test_query_without_sql_runs(spark, name):
     from palimpsest.plans.questions import QUERIES
