@@ -133,6 +133,20 @@ def test_hashes_and_vectors(spark):
     assert got[1] == got[2] and got[3] == got[4] and got[1][0] == got[5][0] == "af63dc4c8601ec8c" != got[6][0] and len(got[1][1]) == 4
 
 
+def test_embedding_text_equals_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from palimpsest.plans.questions import QUERIES
+    from palimpsest.plans.catalog import ORACLE
+
+    odd = ["", " ", "\n", "\n\n", "a", "\na", "a\n\nb", "\n ", "a\n", "a\rb", "vector=1", "x_vector=1", None, "embedding_model=m", "a\n embedding_ref=b\nc", "a embedding_text_hash=1", "\u2028embedding_model=1", "\x0b\x0c", "a\x00", "\x85b", "\tembedding_model=m"]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["embedding_text"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.sql(ORACLE["embedding_text"]).fetchall())
+
+
 def test_coverage_takes_the_first_dimension_and_counts_repeats(spark):
     lines = [json.dumps(x) for x in ({"doc_id": "a", "vector": [1, 2]}, {"doc_id": "a", "vector": [3, 4]}, {"doc_id": "b", "vector": [1]}, {"doc_id": " ", "vector": [1]}, {"doc_id": "z", "vector": [1, 1]})] + ["", "  ", "no json"]
     df = spark.createDataFrame(list(enumerate(lines)), "pos long, value string")
