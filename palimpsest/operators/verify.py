@@ -29,7 +29,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind, score = held if held and not against and not stale else (None, 0)
             out.append((fact_id, cell_id, trust, cited, kind, score, against, say.CONTRADICTED if against else 0, guards))
         types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+        columns = zip(*out, strict=True) if out else [[]] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def matches(facts: DataFrame, evidence: DataFrame, on: str) -> DataFrame:

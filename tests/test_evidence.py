@@ -187,3 +187,13 @@ def test_hashes():
     from palimpsest.functions.text import fnv1a64, scope_id
 
     assert fnv1a64(b"") == 0xCBF29CE484222325 and fnv1a64(b"a") == 0xAF63DC4C8601EC8C and scope_id("a") == 0xAF63DC4C8601EC8C & ((1 << 60) - 1)
+
+
+def test_a_fact_and_a_text_are_read_once(monkeypatch):
+    from palimpsest.functions import evidence as say
+
+    read, own = [], say.python_tokens
+    monkeypatch.setattr(say, "python_tokens", lambda t: read.append(t) or own(t))
+    fact, text = "crate 9151 weighs 17 kg", "The crate 9151 now weighs 18 kg."
+    assert say.support(fact, text) is None and say.numeric_mismatch(fact, text)[1].scaled == 18 and not say.contradicts(fact, text)
+    assert sorted(read) == sorted([fact, text])
