@@ -133,6 +133,32 @@ def test_hashes_and_vectors(spark):
     assert got[1] == got[2] and got[3] == got[4] and got[1][0] == got[5][0] == "af63dc4c8601ec8c" != got[6][0] and len(got[1][1]) == 4
 
 
+def test_no_pair_of_terms_is_a_row(spark, monkeypatch):
+    import collections
+    import itertools
+    import random
+
+    from palimpsest.operators import cooccurrence
+
+    rng = random.Random(5)
+    docs = [(i, [f"t{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(30))]) for i in range(150)] + [(150 + i, ["alone"]) for i in range(90)] + [(300, [])]
+    df = collections.Counter(t for _, d in docs for t in set(d))
+    co = collections.Counter(p for _, d in docs for p in itertools.permutations({t for t in d if df[t] >= 3}, 2))
+    rows = collections.defaultdict(list)
+    for (a, b), n in co.items():
+        if n >= 2:
+            rows[a].append((-(n * 65535 // min(df[a], df[b])), -n, b))
+    monkeypatch.setattr(cooccurrence, "BLOCK", 40)
+    monkeypatch.setattr(cooccurrence, "SPAN", 2)
+    frame = spark.createDataFrame(docs, "doc_id long, terms array<string>")
+    for most in (1, 5, 10_000):
+        kept = sorted(rows, key=lambda t: (-df[t], t))[:most]
+        want = {(a, b, -x, i + 1) for a in kept for i, (x, _, b) in enumerate(sorted(rows[a])[:8])}
+        out = relational.synonym_pairs(frame, most=most)
+        assert {tuple(r) for r in out.select("term", "synonym", "association_q16", "rn").collect()} == want
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_embedding_text_equals_sql_on_odd_texts(spark, tmp_path):
     import duckdb
 
